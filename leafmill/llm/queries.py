@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, secrets, simhash, substrings, urls
+from . import decontaminate, language, media, pieces, secrets, simhash, substrings, token_files, urls, wordpieces
 from .common import table
 
 
+#: Where the vocabulary files of public tokenizers are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary_file(name: str) -> str:
+    """A file of the installed package of public tokenizers, or of its folder."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return str(public_tokenizers.path(name))
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,17 +39,42 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.counted(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(table(spark, sf_dir, "pages"))
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_media_columns": op2_media_columns,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_secret_scan": op4_secret_scan,
+        "op5_token_counts": op5_token_counts,
+        "op6_token_files": op6_token_files,
+        "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
+        "op9_sentence_pieces": op9_sentence_pieces,
+        "op10_decontamination": op10_decontamination,
     }
 
 
