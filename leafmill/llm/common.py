@@ -77,6 +77,48 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*rows), schema)], schema=schema)
 
 
+def together(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list]]:
+    """Batches of (id, text) as lists, gathered to about ``limit`` of the texts' length."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(own)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= limit:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+class Recent:
+    """Values of keys met lately, a bounded number, in two generations.
+
+    When the young generation is full it becomes the old one, and what the old
+    one alone held is forgotten; keys that are met again move to the young one.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys) -> list:
+        """Keys without a value; all others are in ``young`` afterwards."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                found = old.get(key)
+                if found is None:
+                    out.append(key)
+                else:
+                    young[key] = found
+        return out
+
+
 def text_bytes(name: str = "text"):
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)

@@ -22,15 +22,17 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import local_path, new_path, small_batches, written
+from .common import Recent, local_path, new_path, small_batches, together, written
 
 END_ID = 2
 MAGIC = b"LMTIDS01"
@@ -40,8 +42,10 @@ SUFFIX = ".lmt"
 FILE_TOKENS = 1 << 24
 BLOCK_TOKENS = 1 << 20
 NO_ID = -(1 << 63)
-#: Pre-tokens whose ids a worker remembers before it starts anew.
-REMEMBER = 400_000
+#: Pre-tokens, and words, whose ids a worker remembers in each generation.
+REMEMBER = 250_000
+#: Characters of text that are encoded together.
+TOGETHER = 3 << 20
 SHORT = 64
 
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
@@ -49,17 +53,27 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: Texts with a special token's name, or with characters that libraries class differently, are encoded whole.
 WHOLE = r"<\|endoftext\|>|[\x1c-\x1f\x85\u180e\u200b\ufeff]"
 
+#: White space other than a space and a line end.
+ODD_SPACES = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts that hold one of these are split by pattern.
+UNEVEN = ["\0", "  ", "\n\n", " \n", "\n ", *ODD_SPACES, "<|endoftext|>", *"\x1c\x1d\x1e\x1f\u180e\u200b\ufeff"]
+
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def coded(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of a block of uint32 values."""
-    sizes = (1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    most = int(ranks.max(initial=0))
+    sizes = np.ones(len(ranks), np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        if most > limit:
+            sizes += ranks > limit
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = sizes - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < sizes[:, None]]
+    width = 2 if most <= 0xFFFF else 4
+    data = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8) < sizes[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -70,8 +84,10 @@ def decoded(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     starts = ends - sizes
     if n and int(ends[-1]) != len(data):
         raise ValueError("control and data bytes disagree")
-    more = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-    values = more[starts] | more[starts + 1] << 8 | more[starts + 2] << 16 | more[starts + 3] << 24
+    more = np.concatenate([data, np.zeros(3, np.uint8)])
+    values = more[starts].astype(np.uint32)
+    for k in range(1, int(sizes.max(initial=1))):
+        values |= more[starts + k].astype(np.uint32) << 8 * k
     return values & MASKS[sizes]
 
 
@@ -119,35 +135,111 @@ def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Texts to ids by the tokenizers library, pre-tokens met before by memory."""
+    """Texts to ids by the tokenizers library's model.
+
+    The ids of a pre-token depend on it alone, so those met before are
+    remembered. In a text whose words stand apart by single spaces or line ends,
+    the ids of a word depend on it and on the space before it alone: such texts
+    are cut to words, a batch's distinct words are looked up or encoded once, and
+    the ids are gathered by numpy. Any other text is split as the library does.
+    """
 
-    def __init__(self, model: str):
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
-        self.split = regex.compile(SPLIT).findall
-        self.whole = regex.compile(WHOLE).search
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, "<u4").tobytes() for x in encode(texts, add_special_tokens=False)]
+        from .wordpieces import byte_of
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        parts = [None if self.whole(text) else self.split(text) for text in texts]
-        fresh = list(set().union(*(p for p in parts if p)).difference(known))
-        known.update(zip(fresh, self._ids(fresh)))
-        found = [self._ids([text])[0] if p is None else b"".join(map(known.__getitem__, p)) for text, p in zip(texts, parts)]
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.shown = {b: c for c, b in byte_of().items()}
+        self.space = self.shown[32]
+        self.split = regex.compile(SPLIT).findall
+        self.odd = regex.compile(WHOLE).search
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # what it would remember is remembered here
+        self.merge = model.tokenize
+        self.pieces = Recent(REMEMBER)
+        self.words = Recent(REMEMBER)
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.space)
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [x.id for x in self.merge(shown)]).tobytes()
+
+    def _split(self, text: str) -> list[bytes]:
+        """The ids of each pre-token."""
+        pieces = self.split(text)
+        fresh = self.pieces.missing(set(pieces))
+        known = self.pieces.young
+        for piece in fresh:
+            known[piece] = self._piece(piece)
+        out = [known[piece] for piece in pieces]
         for piece in fresh:
             if len(piece) > SHORT:
                 del known[piece]
-        return found
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words together, line ends between them: those are pre-tokens."""
+        end = self._piece("\n")
+        known, own, at = self.words.young, [], 0
+        for found in self._split("\n".join(words) + "\n"):
+            if found == end:
+                known[words[at]] = b"".join(own)
+                at += 1
+                own = []
+            else:
+                own.append(found)
+        if at != len(words):
+            raise ValueError("words and their pre-tokens disagree")
+
+    def _even(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        marked = pa.array([t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts], pa.large_string())
+        lists = pc.split_pattern(marked, "\0")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in self.words.missing(words) if w != "\n"]
+        if fresh:
+            self._learn(fresh)
+        known = self.words.young
+        known["\n"] = self._piece("\n")
+        found = [known[w] for w in words]
+        for w in fresh:
+            if len(w) > SHORT:
+                del known[w]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        flat, starts = np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy()
+        own = sizes[index]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(starts[index] - (ends - own), own) + np.arange(ends[-1])]
+        stops = np.cumsum(lists.value_lengths().to_numpy())
+        return ids, np.diff(np.r_[0, ends[stops - 1]])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, in ``kind``."""
+        out: list[bytes] = [b""] * len(texts)
+        even = []
+        for k, text in enumerate(texts):
+            if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in UNEVEN):
+                even.append(k)
+            elif self.odd(text):
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                out[k] = b"".join(self._split(text))
+        if even:
+            ids, counts = self._even([texts[k] for k in even])
+            held, size = memoryview(ids.tobytes()), self.kind.itemsize
+            for k, end, n in zip(even, np.cumsum(counts).tolist(), counts.tolist()):
+                out[k] = bytes(held[(end - n) * size : end * size])
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -161,7 +253,7 @@ def _encoder(shared) -> Encoder:
     return _encoders[key]
 
 
-def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, encode: Callable[[list[str]], list[bytes]], end_id: int) -> Iterator[pa.RecordBatch]:
+def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, encode: Encoder, end_id: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     part = task.partitionId()
     store, root = local_path(folder)
@@ -171,7 +263,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, encode: Calla
         nonlocal seq
         name = f"{part:08d}-{seq:06d}{SUFFIX}"
         beside = f"{root}/_{name}-{task.taskAttemptId()}"
-        ids = np.frombuffer(b"".join(coded_ids), "<u4")
+        ids = np.frombuffer(b"".join(coded_ids), encode.kind)
         size = 0
         with store.open_output_stream(beside) as out:
             for piece in file_parts(np.array(docs, np.int64), np.array(sizes, np.int64), ids):
@@ -181,20 +273,17 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, encode: Calla
         seq += 1
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, len(docs), len(ids), size)], ["file", "n_docs", "n_tokens", "n_bytes"])
 
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], encode.kind).tobytes()
     docs, sizes, held, tokens = [], [], [], 0
-    for batch in batches:
-        doc_ids = batch.column(0).to_pylist()
-        for start in range(0, len(batch), 256):
-            texts = batch.column(1).slice(start, 256).to_pylist()
-            for doc, found in zip(doc_ids[start : start + 256], encode(texts)):
-                docs.append(NO_ID if doc is None else doc)
-                sizes.append(len(found) // 4 + 1)
-                held += (found, end)
-                tokens += sizes[-1]
-                if tokens >= FILE_TOKENS:
-                    yield close(docs, sizes, held)
-                    docs, sizes, held, tokens = [], [], [], 0
+    for doc_ids, texts in together(batches, TOGETHER):
+        for doc, found in zip(doc_ids, encode(texts)):
+            docs.append(NO_ID if doc is None else doc)
+            sizes.append(len(found) // len(end) + 1)
+            held += (found, end)
+            tokens += sizes[-1]
+            if tokens >= FILE_TOKENS:
+                yield close(docs, sizes, held)
+                docs, sizes, held, tokens = [], [], [], 0
     if docs:
         yield close(docs, sizes, held)
 
