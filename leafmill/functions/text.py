@@ -136,6 +136,14 @@ def marker(text: Column) -> Column:
     return out
 
 
+def marker_family(text: Column) -> Column:
+    """The family of a line's marker alone, or null."""
+    out = F.when(matches(text, packs.MARKER_BULLET), F.concat(F.lit("nonAlnum_"), F.regexp_extract(text, U + packs.MARKER_BULLET, 1)))
+    for name, pattern, _, _ in reversed(packs.MARKERS):
+        out = F.when(matches(text, pattern), F.lit(name)).otherwise(out)
+    return out
+
+
 def has_marker(text: Column) -> Column:
     return any_match(text, [p for _, p, _, _ in packs.MARKERS])
 
@@ -178,7 +186,7 @@ def toc_entry(line: Column) -> Column:
     dots, gap = r"\.{2,}\s*(\d{1,4})?\s*$", r"\s{2,}(\d{1,4})\s*$"
 
     def cut(pattern: str) -> Column:
-        page = F.expr("try_cast(null as int)") if pattern is None else F.regexp_extract(text, U + pattern, 1).try_cast("int")
+        page = F.regexp_extract(text, U + pattern, 1).try_cast("int")
         return F.struct(rstrip(F.regexp_replace(text, U + pattern, "")).alias("text"), page.alias("page"))
 
     plain = F.struct(text.alias("text"), F.lit(None).cast("int").alias("page"))

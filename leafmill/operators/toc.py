@@ -19,7 +19,7 @@ def page_flags(pages: DataFrame, settings: Settings = Settings(), pack: Language
     base = pages.withColumn("_lines", lines)
     listed = F.filter("_lines", lambda x: t.is_toc_line(x, settings))
     base = base.withColumn("_listed", listed).withColumn("n_lines", F.size("_lines"))
-    families = F.array_distinct(F.filter(F.transform("_listed", lambda x: t.marker(x)["family"]), lambda x: x.isNotNull()))
+    families = F.array_distinct(F.filter(F.transform("_listed", t.marker_family), lambda x: x.isNotNull()))
     base = base.withColumn("toc_ratio", F.when(F.col("n_lines") > 0, F.size("_listed") / F.col("n_lines")).otherwise(F.lit(0.0))).withColumn("n_families", F.size(families))
     base = base.withColumn("imprint", t.is_imprint(F.col("text"), pack)).withColumn("sentences", t.sentence_starts(F.col("text")))
     titled = (F.col("n_lines") >= settings.min_toc_lines) & t.is_title(F.element_at("_lines", 1), pack.contents_titles) & (F.col("toc_ratio") >= settings.toc_ratio_titled)
@@ -78,7 +78,7 @@ def merged_lines(lines: DataFrame) -> DataFrame:
     lines are folded in order; all tests on a line are computed before, in Spark.
     """
     w = Window.partitionBy("source").orderBy("seq")
-    told = lines.withColumns({"_family": t.marker(F.col("text"))["family"], "_style": t.style(F.col("text")), "_lower": F.col("text").rlike(r"\A\p{Ll}"), "_closed": t.ends_sentence(t.rstrip(F.col("text"))), "_open": t.rstrip(F.col("text")).rlike(r"[,;:]\z")})
+    told = lines.withColumns({"_family": t.marker_family(F.col("text")), "_style": t.style(F.col("text")), "_lower": F.col("text").rlike(r"\A\p{Ll}"), "_closed": t.ends_sentence(t.rstrip(F.col("text"))), "_open": t.rstrip(F.col("text")).rlike(r"[,;:]\z")})
     told = told.withColumn("_next", F.lead("_family").over(w)).withColumn("_last", F.lead("seq").over(w).isNull())
     return told.groupBy("source").applyInPandas(_fold_lines, "source string, seq int, text string, printed_page int, pdf_page int")
 
