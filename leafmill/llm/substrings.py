@@ -201,16 +201,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
     factors, factors_path = written(texts.mapInArrow(_factor_batches, "doc_id long, anchor long, stretch long, first int, n int"), "factors")
     shared = factors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"))
-    shared = shared.where("least < most").select("anchor", "least", F.col("s0").eqNullSafe(F.col("s1")).alias("copied"))
+    # written, so that both sides of the join are dealt out and Spark splits a hot anchor
+    shared, shared_path = written(shared.where("least < most").select("anchor", "least", (F.col("s0") == F.col("s1")).alias("copied")), "shared")
     judged = factors.join(shared, "anchor").where("not copied or doc_id > least")
     spans = judged.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "anchor", "copied")).alias("spans"))
     first, _ = written(
         texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_judge_batches, f"{RESULT}, text binary, copied array<struct<first:int,n:int>>, asked array<struct<anchor:long,window:long,at:int>>"),
         "judged",
     )
-    drop(spark, factors_path)
+    drop(spark, factors_path, shared_path)
     asked = first.where("asked is not null").select("doc_id", F.explode("asked").alias("w")).select("doc_id", "w.*")
     earliest = asked.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    earliest, _ = written(earliest.select("anchor", "window", "least"), "earliest")
     found = asked.join(earliest, ["anchor", "window"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("at").alias("found"))
     late = first.where("asked is not null").select("doc_id", "text", "copied").join(found, "doc_id", "left")
     done = first.where("asked is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
