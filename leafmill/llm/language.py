@@ -42,6 +42,7 @@ class Bounds:
     documents: int = 4000
     windows: int = 4
     epochs: int = 6
+    steps: int = 400  # more epochs where these are not reached
     lanes: int = 256
     rate: float = 0.01
     seed: int = 11
@@ -142,8 +143,10 @@ def train(windows: list[bytes], languages: list[str], bounds: Bounds = Bounds())
     rng = np.random.default_rng(bounds.seed)
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    step, total = 0, bounds.epochs * -(-len(windows) // bounds.lanes)
-    for _ in range(bounds.epochs):
+    each = -(-len(windows) // bounds.lanes)
+    epochs = max(bounds.epochs, -(-bounds.steps // each))
+    step, total = 0, epochs * each
+    for _ in range(epochs):
         order = rng.permutation(len(windows))
         for start in range(0, len(order), bounds.lanes):
             own = order[start : start + bounds.lanes]
@@ -247,11 +250,16 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], net: Network | None, least:
             yield batch.drop_columns(["_lettered"]).filter(good)
 
 
-def recognised(docs: DataFrame, least: float = 0.5, bounds: Bounds = Bounds()) -> DataFrame:
-    """The rows of ``docs`` whose text is of a learned language, as they are."""
+def recognised(docs: DataFrame, over_chance: float = 1.1, bounds: Bounds = Bounds()) -> DataFrame:
+    """The rows of ``docs`` whose text is of a learned language, as they are.
+
+    Texts without a letter go, and those whose best language has less than
+    ``over_chance`` times the probability that guessing would give.
+    """
     import pyarrow.compute  # noqa: F401
 
     net = fitted(docs, bounds)
+    least = over_chance / len(net.labels) if net and len(net.labels) > 1 else 0.0
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
