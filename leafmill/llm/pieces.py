@@ -3,13 +3,14 @@
 A batch's unmet text is concatenated, its suffixes are sorted, and every piece of
 the model is found by binary search as a range of suffixes: each suffix in the
 range is an edge of the text's lattice. Edges are sorted by position and relaxed
-from left to right.
+from left to right, at each position the longest first.
 
 The model at hand merges pairs (BPE), so an edge relaxes its end only if the
 piece may follow the piece that the start was reached by: that is, if merging the
-two pieces' characters by score gives back those two. Exactly one edge does so at
-each position, and the path to the end is the merge result, which makes the ids
-equal to the sentencepiece library's. Characters that no piece holds are written
+two pieces' characters by score gives back those two. At most one edge does so at
+each position, so a position that leads nowhere is not tried again, and the path
+to the end is the merge result, which makes the ids equal to the sentencepiece
+library's. Characters that no piece holds are written
 as byte pieces.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text;
@@ -30,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, small_batches, text_bytes
+from .common import Recent, rows_out, small_batches, text_bytes, together, worker_keeps
 
 SPACE = "▁"
 #: Bytes of unmet text that are indexed at a time.
-INDEX_BYTES = 1 << 19
-#: Units of text and pairs of pieces that a worker remembers before it starts anew.
-REMEMBER = 400_000
-PAIRS = 1_000_000
+INDEX_BYTES = 3 << 16
+#: Units of text that a worker remembers in each generation, and pairs of pieces before it starts anew.
+REMEMBER = 200_000
+PAIRS = 500_000
 SHORT = 64
+#: Bytes of text that are encoded together, ids that are decoded together.
+TOGETHER = 2 << 20
+GATHER = 1 << 19
 
 
 class Model:
@@ -80,7 +84,7 @@ class Encoder:
         self.piece_sizes = np.array([len(x) for x, _ in coded])
         self.low = np.array([x for x, _ in coded], f"S{self.width}")
         self.high = np.array([x + b"\xff" for x, _ in coded], f"S{self.width}")
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(REMEMBER)
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -122,86 +126,94 @@ class Encoder:
         by_place = np.lexsort((size, at))
         return at[by_place], size[by_place], piece[by_place]
 
-    def relaxed(self, units: list[str]) -> list[list[int]]:
-        """The pieces of each unit; units hold known characters only."""
+    def relaxed(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as unsigned 32-bit; units hold known characters only."""
         coded = [u.encode() for u in units]
-        bounds = np.cumsum([0] + [len(c) + 1 for c in coded])
-        at, size, piece = self.edges(b"\0".join(coded))
-        cuts = np.searchsorted(at, bounds).tolist()
-        at, size, piece = at.tolist(), size.tolist(), piece.tolist()
-        pairs, out = self.pairs, []
-        for k, data in enumerate(coded):
-            base = int(bounds[k])
-            last: list[int | None] = [None] * (len(data) + 1)
-            back = [0] * (len(data) + 1)
-            last[0] = -1
-            for e in range(cuts[k], cuts[k + 1]):
-                start = at[e] - base
-                before = last[start]
-                end = start + size[e]
-                if before is None or last[end] is not None:
-                    continue
-                key = before << 24 | piece[e]
-                good = pairs.get(key)
-                if good is None:
-                    good = pairs[key] = self.follows(before, piece[e])
-                if good:
-                    last[end], back[end] = piece[e], start
-            ids: list[int] = []
-            end = len(data)
-            if last[end] is None:
-                raise ValueError(f"no path through {units[k]!r}")
-            while end:
-                ids.append(last[end])  # type: ignore[arg-type]
-                end = back[end]
-            out.append(ids[::-1])
+        data = b"\0".join(coded)
+        at, size, piece = self.edges(data)
+        first = np.searchsorted(at, np.arange(len(data) + 2)).tolist()
+        at, end, piece = at.tolist(), (at + size).tolist(), piece.tolist()
+        pairs, ids, ends = self.pairs, [], []
+        base = 0
+        for unit in coded:
+            place, stop, last = base, base + len(unit), -1
+            path: list[int] = []
+            dead: set[int] = set()
+            edge = first[place + 1] - 1
+            while place < stop:
+                least = first[place]
+                while edge >= least:
+                    if end[edge] not in dead:
+                        key = last << 24 | piece[edge]
+                        good = pairs.get(key)
+                        if good is None:
+                            good = pairs[key] = self.follows(last, piece[edge])
+                        if good:
+                            break
+                    edge -= 1
+                if edge >= least:
+                    path.append(edge)
+                    place, last = end[edge], piece[edge]
+                    edge = first[place + 1] - 1
+                elif path:  # the only way to this place leads nowhere
+                    dead.add(place)
+                    edge = path.pop()
+                    place, last = at[edge], piece[path[-1]] if path else -1
+                    edge -= 1
+                else:
+                    raise ValueError(f"no path through {unit!r}")
+            ids += [piece[e] for e in path]
+            ends.append(4 * len(ids))
+            base = stop + 1
+        flat = np.array(ids, "<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _blocks(self, units: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        start = 0
+        while start < len(units):
+            end, size = start, 0
+            while end < len(units) and (end == start or size < INDEX_BYTES):
+                size += len(units[end])
+                end += 1
+            out.update(zip(units[start:end], self.relaxed(units[start:end])))
+            start = end
         return out
 
     def _learn(self, fresh: list[str]) -> None:
-        parts: list[list[str | bytes]] = []
-        wanted: dict[str, list[int]] = {}
+        known = self.known.young
+        if self.letters.issuperset("".join(fresh)):
+            known.update(self._blocks(fresh))
+            return
+        parts: list[list[str]] = []  # runs of characters that pieces hold, and single others
         for unit in fresh:
             if self.letters.issuperset(unit):
                 parts.append([unit])
-            else:
-                own: list[str | bytes] = []
-                for c in unit:
-                    if c not in self.letters:
-                        own.append(c.encode("utf-8", "surrogatepass"))
-                    elif own and isinstance(own[-1], str):
-                        own[-1] += c
-                    else:
-                        own.append(c)
-                parts.append(own)
-            for p in parts[-1]:
-                if isinstance(p, str):
-                    wanted[p] = []
-        asked = list(wanted)
-        start = 0
-        while start < len(asked):
-            end, size = start, 0
-            while end < len(asked) and (end == start or size < INDEX_BYTES):
-                size += 4 * len(asked[end])
-                end += 1
-            wanted.update(zip(asked[start:end], self.relaxed(asked[start:end])))
-            start = end
+                continue
+            own: list[str] = [""]
+            for c in unit:
+                if c in self.letters:
+                    own[-1] += c
+                else:
+                    own += [c, ""]
+            parts.append([x for x in own if x])
+        found = self._blocks(list({x for own in parts for x in own if x[0] in self.letters}))
         for unit, own in zip(fresh, parts):
-            ids = [x for p in own for x in (wanted[p] if isinstance(p, str) else [self.byte_ids[b] for b in p])]
-            self.known[unit] = np.array(ids, "<u4").tobytes()
+            known[unit] = b"".join(found[x] if x in found else np.array([self.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")], "<u4").tobytes() for x in own)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
         units = [self.units(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
-        fresh = list(set().union(*units).difference(self.known))
-        self._learn(fresh)
-        out = [b"".join(map(self.known.__getitem__, own)) for own in units]
+        fresh = self.known.missing(set().union(*units))
+        if fresh:
+            self._learn(fresh)
+        known = self.known.young
+        out = [b"".join(map(known.__getitem__, own)) for own in units]
         for unit in fresh:
             if len(unit) > SHORT:
-                del self.known[unit]
+                del known[unit]
         return out
 
 
@@ -212,34 +224,38 @@ class Decoder:
             table[k] = text.replace(SPACE, " ").encode()
         for k, byte in model.bytes_of.items():
             table[k] = bytes([byte])
-        self.table = dict(enumerate(table))
-
-    def __call__(self, ids: list[int]) -> bytes:
-        table = self.table
-        found = b"".join([table.get(k, b"") for k in ids])
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.sizes = np.array([*map(len, table), 0], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """The bytes of all pieces, without the space that encoding put first."""
+        parts = []
+        for at in range(0, len(ids), GATHER):
+            own = ids[at : at + GATHER]
+            own = np.where((own >= 0) & (own < len(self.sizes)), own, len(self.sizes) - 1)
+            sizes = self.sizes[own]
+            ends = np.cumsum(sizes)
+            parts.append(self.flat[np.repeat(self.starts[own] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes())
+        found = b"".join(parts)
         return found[1:] if found[:1] == b" " else found
 
 
-_held: dict[str, tuple[object, object]] = {}
-
-
 def _once(kind: str, model: Model, make):
     """One encoder or decoder for each worker and model."""
-    found = _held.get(kind)
-    if found is None or found[0] is not model:
-        found = _held[kind] = (model, make(model))
-    return found[1]
+    kept = worker_keeps("pieces")
+    if kind not in kept or kept[kind][0] is not model:
+        kept[kind] = (model, make(model))
+    return kept[kind][1]
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
-    for batch in batches:
-        raw = [x.as_py() for x in batch.column(1)]
+    for docs, raw in together(batches, TOGETHER):
         coded = encoder([x.decode("utf-8", "replace") for x in raw])
-        counts = [len(c) // 4 for c in coded]
         ids = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-        offsets = pa.array(np.cumsum([0, *counts]).astype(np.int32))
-        columns = [batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.ListArray.from_arrays(offsets, ids)]
+        offsets = pa.array(np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32))
+        columns = [pa.array(docs, pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.ListArray.from_arrays(offsets, ids)]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -269,7 +285,7 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], decoder: Decoder, whole:
         for batch in batches:
             for doc, size, sha, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 values = ids.values.to_numpy() if ids.is_valid else np.empty(0, np.int32)
-                found = decoder(values.tolist())
+                found = decoder(values)
                 row = doc, size, len(values), zlib.crc32(values.astype("<u4").tobytes()), sha, hashlib.sha256(found).hexdigest()
                 yield (*row, values, found.decode("utf-8", "replace")) if whole else row
 
@@ -286,7 +302,20 @@ def decoded(ids: DataFrame, path: str, whole: bool = True) -> DataFrame:
     return ids.select("doc_id", "n_bytes", "text_sha256", "ids").mapInArrow(run, DECODED_DDL + (", ids array<int>, decoded string" if whole else ""))
 
 
+def encoded_and_decoded(docs: DataFrame, path: str, whole: bool = True) -> DataFrame:
+    """``decoded(encoded(docs))`` in one pass through the same Python workers."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(Model(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = _encode_batches(batches, _once("encoder", shared.value, Encoder))
+        return _decode_batches(coded, _once("decoder", shared.value, Decoder), whole)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, DECODED_DDL + (", ids array<int>, decoded string" if whole else ""))
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encode every whole text, decode its ids and compare the digests."""
-    found = decoded(encoded(docs, path), path, whole=False)
+    found = encoded_and_decoded(docs, path, whole=False)
     return found.select("doc_id", "n_bytes", "n_pieces", "ids_crc32", "decoded_sha256", (F.col("text_sha256") == F.col("decoded_sha256")).alias("same"))
