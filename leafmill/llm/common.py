@@ -92,6 +92,21 @@ def together(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[li
         yield ids, texts
 
 
+_kept: dict = {}
+
+
+def worker_keeps(family: str) -> dict:
+    """What this Python worker keeps for one family of operations, between tasks.
+
+    A worker that turns to another family forgets the earlier one's, so that a
+    pipeline's stages do not add up in memory.
+    """
+    if family not in _kept:
+        _kept.clear()
+        _kept[family] = {}
+    return _kept[family]
+
+
 class Recent:
     """Values of keys met lately, a bounded number, in two generations.
 

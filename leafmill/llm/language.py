@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import small_batches, text_bytes, worker_keeps
 
 WINDOW = 64
 HIDDEN = 8
@@ -185,6 +185,7 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def _predict_batches(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+    worker_keeps("language")
     for batch in batches:
         languages = np.full(len(batch), UNKNOWN, object)
         scores = np.zeros(len(batch))

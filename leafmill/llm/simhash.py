@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, small_batches, text_bytes, written
+from .common import drop, small_batches, text_bytes, worker_keeps, written
 from .graph import components
 
 SHINGLE = 3
@@ -58,6 +58,7 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_keeps("simhash")
     for batch in batches:
         texts = batch.column(1)
         prints = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))

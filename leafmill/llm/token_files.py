@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, local_path, new_path, small_batches, together, written
+from .common import Recent, local_path, new_path, small_batches, together, worker_keeps, written
 
 END_ID = 2
 MAGIC = b"LMTIDS01"
@@ -242,15 +242,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
-    key = hash(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+    """One encoder for each worker and tokenizer."""
+    kept = worker_keeps("token_files")
+    if kept.get("definition") != shared.value:
+        kept.update(definition=shared.value, encoder=Encoder(shared.value))
+    return kept["encoder"]
 
 
 def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, encode: Encoder, end_id: int) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import small_batches, text_bytes, worker_keeps
 
 #: Words whose piece counts a worker remembers before it starts anew.
 REMEMBER = 300_000
@@ -116,13 +116,11 @@ class _Remembered(dict):
         return n
 
 
-_held: list = [None, None]
-
-
 def _count_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    if _held[0] != shared.value:  # one automaton for each worker and vocabulary
-        _held[:] = shared.value, _Remembered(Automaton(shared.value))
-    known = _held[1]
+    kept = worker_keeps("wordpieces")
+    if kept.get("words") != shared.value:  # one automaton for each worker and vocabulary
+        kept.update(words=shared.value, known=_Remembered(Automaton(shared.value)))
+    known = kept["known"]
     for batch in batches:
         n = len(batch)
         words_of, pieces_of, bytes_of = (np.zeros(n, np.int64) for _ in range(3))
