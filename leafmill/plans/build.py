@@ -12,11 +12,18 @@ from ..packs import LanguagePack, Settings
 from ..sources import models
 
 
-def build_chunks(pages: DataFrame, explicit: DataFrame | None = None, pack: LanguagePack = LanguagePack(), settings: Settings = Settings()) -> DataFrame:
-    """Pages -> contents entries -> located sections -> linked chunks."""
-    entries, located = toc.parse_toc(pages, explicit, settings, pack)
+def build_chunks(pages: DataFrame, explicit: DataFrame | None = None, pack: LanguagePack = LanguagePack(), settings: Settings = Settings(), keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Pages -> contents entries -> located sections -> linked chunks.
+
+    ``keep(table, name)`` stores a stage's table and gives it back, for example
+    written as Parquet; without it stages are cached, as later ones read them
+    more than once.
+    """
+    keep = keep or (lambda table, name: table.persist())
+    located = keep(toc.toc_pages(toc.page_flags(pages, settings, pack), explicit, settings), "located")
+    entries = keep(toc.entries(toc.merged_lines(toc.toc_lines(pages, located, pack))), "entries")
     mapped, _ = sections.heading_pages(entries, pages, located, settings)
-    return chunks.document_chunks(mapped, pages, pack, settings)
+    return chunks.document_chunks(keep(mapped, "sections"), pages, pack, settings)
 
 
 def build_questions(records: DataFrame, templates: DataFrame, pack: LanguagePack = LanguagePack(), settings: Settings = Settings()) -> DataFrame:

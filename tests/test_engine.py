@@ -246,7 +246,7 @@ def test_structure(spark):
     held = spark.createDataFrame([("d", 1, "\n".join(first)), ("d", 2, "Препорука 4.1\nlast")], "source string, page int, text string")
     found, recs = structure.parse_structure(held)
     assert [(r.id, r.title, r.level, r.page) for r in found.orderBy("seq").collect()] == [("I", "VELIKI NASLOV", 1, 1), ("2", "Naslov drugi", 2, 1), ("3", "Short body", 2, 1)]
-    assert [(r.id, r.section_id, r.text) for r in recs.orderBy("line_no").collect()] == [("3.1", "2", "advice line\nmore advice"), ("4.1", "3", "last")]
+    assert [(r.id, r.section_id, r.text) for r in recs.orderBy("line_no").collect()] == [("3.1", "3", "advice line\nmore advice"), ("4.1", "3", "last")]
 
 
 # --- runs ---
@@ -386,11 +386,15 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == want > 5
 
 
-def test_whole_build_and_answer(spark):
+def test_whole_build_and_answer(spark, tmp_path):
+    def keep(table, name):
+        table.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
     filler = "Ovo je sasvim obična rečenica o lečenju bolesti. " * 5
     book = [(1, "Contents\n" + "\n".join(f"{k}. Poglavlje broj {k} ..... {k + 1}" for k in range(1, 7)))] + [(k + 1, f"{k}. Poglavlje broj {k}\n{filler}\n{filler}\n{filler} Tema{k}.") for k in range(1, 7)]
     held = spark.createDataFrame([("knjiga", p, x) for p, x in book], "source string, page int, text string")
-    made = build.build_chunks(held)
+    made = keep(build.build_chunks(held, keep=keep), "chunks")
     assert made.count() == 6
     passages = models.embedded(made, models.HashingEncoder).withColumn("id", F.col("seq").cast("long"))
     records = spark.createDataFrame([("knjiga", made.orderBy("seq").first().chunk_id, 2, ["x"], ["y"], {"disease": ["asthma"], "drug": ["salbutamol"]})], "source string, chunk_id string, pdf_page int, section_path array<string>, section_ids array<string>, entities map<string,array<string>>")
