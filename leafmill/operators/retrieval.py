@@ -117,10 +117,10 @@ def retrieve(queries: DataFrame, questions: DataFrame, passages: DataFrame, sett
     asked = queries.select("qid", "intent")
 
     first = top_k(queries, questions, settings.question_top, exclude_self=exclude_self).where(F.col("score") >= settings.question_score)
-    first = first.join(questions.drop("embedding").withColumnRenamed("section_path", "_path"), "id").join(asked, "qid").where(suits(F.col("_path"), F.col("intent")))
-    known = passages.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("id")))).where("_n = 1").drop("_n", "embedding", "id")
+    first = first.join(questions.select("id", "source_chunk", F.col("section_path").alias("_path")), "id").join(asked, "qid").where(suits(F.col("_path"), F.col("intent")))
+    known = passages.select(F.col("chunk_id").alias("source_chunk")).distinct()
     hit = Window.partitionBy("qid", "source_chunk").orderBy("rank")
-    first = first.withColumn("_n", F.row_number().over(hit)).where("_n = 1").join(known.withColumnRenamed("chunk_id", "source_chunk"), "source_chunk")
+    first = first.withColumn("_n", F.row_number().over(hit)).where("_n = 1").join(known, "source_chunk")
     place = Window.partitionBy("qid").orderBy("_rank")
     level1 = first.select("qid", F.col("source_chunk").alias("chunk_id"), F.col("score").alias("match_score"), F.col("rank").alias("_rank"), F.lit("question").alias("level"))
 
