@@ -395,9 +395,9 @@ def test_whole_build_and_answer(spark, tmp_path):
     book = [(1, "Contents\n" + "\n".join(f"{k}. Poglavlje broj {k} ..... {k + 1}" for k in range(1, 7)))] + [(k + 1, f"{k}. Poglavlje broj {k}\n{filler}\n{filler}\n{filler} Tema{k}.") for k in range(1, 7)]
     held = spark.createDataFrame([("knjiga", p, x) for p, x in book], "source string, page int, text string")
     made = keep(build.build_chunks(held, keep=keep), "chunks")
-    assert made.count() == 6
-    passages = models.embedded(made, models.HashingEncoder).withColumn("id", F.col("seq").cast("long"))
-    records = spark.createDataFrame([("knjiga", made.orderBy("seq").first().chunk_id, 2, ["x"], ["y"], {"disease": ["asthma"], "drug": ["salbutamol"]})], "source string, chunk_id string, pdf_page int, section_path array<string>, section_ids array<string>, entities map<string,array<string>>")
+    assert made.count() == 12 and made.select("section_ids").distinct().count() == 6
+    passages = models.embedded(made, models.HashingEncoder).withColumn("id", (F.col("seq") * 10 + F.col("item_seq")).cast("long"))
+    records = spark.createDataFrame([("knjiga", made.orderBy("seq", "item_seq").first().chunk_id, 2, ["x"], ["y"], {"disease": ["asthma"], "drug": ["salbutamol"]})], "source string, chunk_id string, pdf_page int, section_path array<string>, section_ids array<string>, entities map<string,array<string>>")
     templates = spark.createDataFrame([(1, "t", "Da li se {disease} leči sa {drug}?", "precise", ["disease", "drug"])], "seq int, id string, template string, intent string, requires array<string>")
     asked = build.build_questions(records, templates, guideline_pack())
     assert asked.first()["query"] == "Da li se astma leči sa salbutamol?"
