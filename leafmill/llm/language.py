@@ -211,8 +211,8 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def fitted(docs: DataFrame, bounds: Bounds = Bounds()) -> Network | None:
-    """Train on a bounded sample of the labelled documents that aren't held out."""
+def training_windows(docs: DataFrame, bounds: Bounds = Bounds()) -> tuple[list[bytes], list[str]]:
+    """Windows and languages of a bounded sample of the labelled documents that aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
     labelled = labelled.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("long"), F.lit("language")).alias("draw"), text_bytes())
     there = docs.where("lang is not null").count()
@@ -223,7 +223,11 @@ def fitted(docs: DataFrame, bounds: Bounds = Bounds()) -> Network | None:
     windows = F.array(*(F.substring("text", place, WINDOW) for place in places))
     rows = drawn.orderBy("draw", "doc_id").limit(bounds.documents).select("lang", windows.alias("windows")).collect()
     pairs = [(bytes(x), r.lang) for r in rows for x in dict.fromkeys(map(bytes, r.windows))]
-    return train([x for x, _ in pairs], [y for _, y in pairs], bounds)
+    return [x for x, _ in pairs], [y for _, y in pairs]
+
+
+def fitted(docs: DataFrame, bounds: Bounds = Bounds()) -> Network | None:
+    return train(*training_windows(docs, bounds), bounds)
 
 
 def identified(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
@@ -239,7 +243,76 @@ def identified(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     return asked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keep_batches(batches: Iterator[pa.RecordBatch], net: Network | None, least: float) -> Iterator[pa.RecordBatch]:
+#: Prefixes of held-out texts, in bytes, that show what a text of at least that length looks like.
+PREFIXES = [4 << k for k in range(10)]
+#: Fewest held-out prefixes of a length that bound it; others take the next shorter length's bounds.
+WITNESSES = 30
+
+
+class Evidence:
+    """How scores and byte pairs of held-out texts lie, by length.
+
+    ``score``: of held-out prefixes whose language was told right; ``pairs``: the
+    log-probability of their byte pairs in the learned language that a pair fits
+    best, as counted on the training windows. Each bound is the median less twice its distance to the
+    1 % quantile: far below what learned languages show, whatever their number.
+    A text between two lengths has the lower bounds of both. A score above a half
+    is never too low: where held-out scores are all near 1 their spread says little.
+    """
+
+    def __init__(self, net: Network, windows: list[bytes], languages: list[str], held: list[tuple[bytes, str]]):
+        at = {x: k for k, x in enumerate(net.labels)}
+        counts = np.zeros((len(net.labels), 256, 256))
+        for x, lang in zip(windows, languages):
+            own = np.frombuffer(x, np.uint8)
+            np.add.at(counts[at[lang]], (own[:-1], own[1:]), 1)
+        single = counts.sum(axis=1) + 0.05
+        single /= single.sum(axis=1, keepdims=True)
+        smooth = counts + 8 * single[:, None, :]
+        self.table = np.log(smooth / smooth.sum(axis=2, keepdims=True)).max(axis=0).astype(np.float32)
+        self.bounds = np.full((len(PREFIXES), 2), -np.inf)
+        for k, size in enumerate(PREFIXES):
+            own = [(x[:size], at[y]) for x, y in held if len(x) >= size and y in at]
+            if own:
+                p = document_probabilities(net, [x for x, _ in own])
+                right = np.flatnonzero(p.argmax(axis=1) == [y for _, y in own])
+                if len(right) >= WITNESSES:
+                    seen = np.stack([p.max(axis=1)[right], [self.pairs(own[i][0]) for i in right]], axis=1)
+                    middle, low = np.quantile(seen, 0.5, axis=0), np.quantile(seen, 0.01, axis=0)
+                    self.bounds[k] = middle - 2 * (middle - low)
+                    continue
+            self.bounds[k] = self.bounds[k - 1] if k else -np.inf
+        self.bounds[:-1] = np.minimum(self.bounds[:-1], self.bounds[1:])
+        self.bounds[-1] = np.minimum(self.bounds[-1], self.bounds[-2])
+        self.bounds[:, 0] = np.minimum(self.bounds[:, 0], 0.5)
+
+    def pairs(self, text: bytes) -> float:
+        """Of a text's windows the middle one's mean, so that a part does not decide for the whole."""
+        own = np.frombuffer(text, np.uint8)
+        if len(own) < 2:
+            return 0.0
+        each = self.table[own[:-1], own[1:]]
+        starts = np.arange(0, max(1, len(each) - WINDOW // 2), WINDOW)
+        return float(np.median(np.add.reduceat(each, starts) / np.diff(np.r_[starts, len(each)])))
+
+    def accepts(self, text: bytes, score: float) -> bool:
+        k = min(len(PREFIXES), len(text).bit_length() - 2) - 1
+        return k < 0 or (score >= self.bounds[k, 0] and self.pairs(text) >= self.bounds[k, 1])
+
+
+def evidence(docs: DataFrame, bounds: Bounds = Bounds()) -> tuple[Network | None, Evidence | None]:
+    """The trained network, and what at most 1,000 held-out documents show under it."""
+    windows, languages = training_windows(docs, bounds)
+    net = train(windows, languages, bounds)
+    if net is None:
+        return None, None
+    asked = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & held_out() & F.col("text").rlike(r"\p{L}"))
+    draw = F.xxhash64(F.col("doc_id").cast("long"), F.lit("evidence"))
+    rows = asked.select("lang", draw.alias("draw"), "doc_id", F.substring(text_bytes(), 1, PREFIXES[-1]).alias("text")).orderBy("draw", "doc_id").limit(1000).collect()
+    return net, Evidence(net, windows, languages, [(bytes(r.text), r.lang) for r in rows])
+
+
+def _keep_batches(batches: Iterator[pa.RecordBatch], net: Network | None, known: Evidence | None) -> Iterator[pa.RecordBatch]:
     """Whole rows, the text's UTF-8 bytes read in place, those that are accepted."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
@@ -247,25 +320,27 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], net: Network | None, least:
         n = pa.array(np.zeros(len(batch), np.int64))
         judged = pa.RecordBatch.from_arrays([n, filled, batch.column("_lettered"), batch.column("_lettered")], ["doc_id", "text", "held_out", "lettered"])
         for found in _predict_batches(iter([judged]), net):
-            good = pa.compute.and_(pa.compute.not_equal(found.column("lang_pred"), UNKNOWN), pa.compute.greater_equal(found.column("score"), least))
-            yield batch.drop_columns(["_lettered"]).filter(good)
+            told = zip(filled, found.column("lang_pred").to_pylist(), found.column("score").to_pylist())
+            good = [lang != UNKNOWN and known.accepts(text.as_py(), score) for text, lang, score in told]
+            yield batch.drop_columns(["_lettered"]).filter(pa.array(good, pa.bool_()))
 
 
-def recognised(docs: DataFrame, over_chance: float = 1.1, bounds: Bounds = Bounds()) -> DataFrame:
+def recognised(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """The rows of ``docs`` whose text is of a learned language, as they are.
 
-    Texts without a letter go, and those whose best language has less than
-    ``over_chance`` times the probability that guessing would give.
+    Texts without a letter go, and those whose score or byte pairs lie outside
+    what held-out texts of their length show (``Evidence``). With fewer
+    than ``WITNESSES`` held-out texts nothing with a letter goes; texts below 4
+    bytes are not judged.
     """
     import pyarrow.compute  # noqa: F401
 
-    net = fitted(docs, bounds)
-    least = over_chance / len(net.labels) if net and len(net.labels) > 1 else 0.0
+    net, known = evidence(docs, bounds)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        return _keep_batches(batches, net, least)
+        return _keep_batches(batches, net, known)
 
     return docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)

@@ -71,3 +71,19 @@ def test_held_out_accuracy_and_edges(spark):
     assert language.identified(docs.limit(0), bounds).collect() == []
     blank = language.identified(docs.selectExpr("doc_id", "text", "cast(null as string) lang"), bounds)
     assert {r.lang_pred for r in blank.collect()} == {"und"}
+
+
+def test_unlearned_languages_and_lettered_junk_go(spark):
+    rng = random.Random(8)
+    rows = [(k, sentence(rng, lang := list(PARTS)[k % 3], rng.randrange(8, 60)), lang) for k in range(600)]
+    latin, cyrillic = "kwa zumo ryk wozy xip vaq".split(), "при вет до сло ка мир".split()
+    other = [" ".join("".join(rng.choice(p) for _ in range(rng.randrange(1, 4))) for _ in range(40)) for p in [latin, cyrillic] * 10]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ") for _ in range(300)) for _ in range(10)]
+    junk += ["x" * 300, "qz" * 150, "漢字" * 100, "\u03b1\u03b2\u03b3 " * 60]
+    planted = [(1000 + k, t, None) for k, t in enumerate(other + junk)]
+    for labels in (3, 1):
+        clean = [r for r in rows if labels == 3 or r[2] == "bb"]
+        docs = spark.createDataFrame(clean + planted, "doc_id long, text string, lang string")
+        ids = {r.doc_id for r in language.recognised(docs, bounds=language.Bounds(epochs=12, rate=0.02, lanes=64)).collect()}
+        assert not ids & {k for k, *_ in planted}
+        assert len(ids) >= 0.99 * len(clean)
