@@ -39,7 +39,7 @@ RULES = [
 ]
 
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?(?:(?<=")[^">]*?|(?<=')[^'>]*?|(?<!["'])[^"'>]*?)url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def lower_ascii(x: Column) -> Column:
@@ -100,10 +100,11 @@ def judged(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> Da
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: nodes of a page and of its canonical link or refresh target."""
+    """``(a, b)``: nodes of a page and of each of its canonical links and refresh targets."""
     rest = rest_of(F.col("url"))
     html = F.coalesce(F.col("html"), F.lit(""))
-    targets = F.array(*(F.when(html.rlike(f"(?i){word}"), F.regexp_extract(html, pattern, 1)) for word, pattern in (("canonical", CANONICAL), ("http-equiv", REFRESH))))
+    none = F.array().cast("array<string>")
+    targets = F.concat(*(F.coalesce(F.when(html.rlike(f"(?i){word}"), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))), none) for word, pattern in (("canonical", CANONICAL), ("http-equiv", REFRESH))))
     held = pages.where(html.rlike("(?i)canonical|http-equiv")).select(node_of(rest).alias("a"), host_of(rest).alias("host"), F.explode(targets).alias("target"))
     target = F.replace(F.col("target"), F.lit("&amp;"), F.lit("&"))
     to = (

@@ -73,3 +73,18 @@ def test_against_sql(pages):
 
 def test_empty_table(pages):
     assert urls.filtered(pages.limit(0)).collect() == []
+
+
+def test_quoted_refreshes_and_all_links_of_a_page(spark):
+    bad = "http://bad.net/es/"
+    html = {
+        1: f"""<meta http-equiv="refresh" content="0;url='{bad}'">""",
+        2: f"""<meta http-equiv='refresh' content='0; URL = "{bad}"'>""",
+        3: GO.format("/else") + GO.format(bad),
+        4: CANON.format("/else") + BACK.format(bad),
+        5: f"<meta http-equiv=refresh content=0;url={bad}>",
+        6: GO.format("http://good.org/"),
+        7: f"""<meta http-equiv="refresh" content="0"><a href="x?url={bad}">""",
+    }
+    df = spark.createDataFrame([(k, f"http://p{k}.org/", x) for k, x in html.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urls.filtered(df).collect()} == {k: "block" if k < 6 else "allow" for k in html}
