@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, small_batches, text_bytes, worker_keeps, written
 from .graph import components
+from .near_copies import node_of, one_row_each
 
 SHINGLE = 3
 SEED = 42
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Keep the document of least doc_id of each component, and rows without id."""
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return first.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each component: that of least doc_id, of rows without id only where no other is."""
+    texts = docs.select(node_of().alias("doc_id"), "text")
+    rooted = near_duplicates(texts).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    return one_row_each(docs, rooted)
