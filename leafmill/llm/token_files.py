@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, local_path, new_path, small_batches, together, worker_keeps, written
+from .common import local_path, new_path, together, worker_keeps, written
+from .lookup import Lookup
 
 END_ID = 2
 MAGIC = b"LMTIDS01"
@@ -43,11 +44,9 @@ FILE_TOKENS = 1 << 24
 BLOCK_TOKENS = 1 << 20
 NO_ID = -(1 << 63)
 #: Pre-tokens, and words, whose ids a worker remembers in each generation.
-REMEMBER = 250_000
+REMEMBER = 1_000_000
 #: Characters of text that are encoded together.
 TOGETHER = 3 << 20
-SHORT = 64
-
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with a special token's name, or with characters that libraries class differently, are encoded whole.
@@ -137,11 +136,11 @@ def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Encoder:
     """Texts to ids by the tokenizers library's model.
 
-    The ids of a pre-token depend on it alone, so those met before are
-    remembered. In a text whose words stand apart by single spaces or line ends,
-    the ids of a word depend on it and on the space before it alone: such texts
-    are cut to words, a batch's distinct words are looked up or encoded once, and
-    the ids are gathered by numpy. Any other text is split as the library does.
+    The ids of a pre-token depend on it alone. In a text whose words stand apart
+    by single spaces or line ends, the ids of a word depend on it and on the space
+    before it alone: such texts are cut to words, a batch's distinct words are
+    looked up or encoded once, and the ids are gathered by numpy. Any other text
+    is cut to pre-tokens as the library does, which are looked up likewise.
     """
 
     def __init__(self, definition: str):
@@ -162,8 +161,8 @@ class Encoder:
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # what it would remember is remembered here
         self.merge = model.tokenize
-        self.pieces = Recent(REMEMBER)
-        self.words = Recent(REMEMBER)
+        self.pieces = Lookup(self.kind, self._merged, REMEMBER)
+        self.words = Lookup(self.kind, self._learn, REMEMBER)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
@@ -172,73 +171,54 @@ class Encoder:
             shown = piece.encode().decode("latin-1").translate(self.shown)
         return array(self.code, [x.id for x in self.merge(shown)]).tobytes()
 
-    def _split(self, text: str) -> list[bytes]:
-        """The ids of each pre-token."""
-        pieces = self.split(text)
-        fresh = self.pieces.missing(set(pieces))
-        known = self.pieces.young
-        for piece in fresh:
-            known[piece] = self._piece(piece)
-        out = [known[piece] for piece in pieces]
-        for piece in fresh:
-            if len(piece) > SHORT:
-                del known[piece]
-        return out
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._piece(x) for x in pieces]
+        return np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encode words together, line ends between them: those are pre-tokens."""
-        end = self._piece("\n")
-        known, own, at = self.words.young, [], 0
-        for found in self._split("\n".join(words) + "\n"):
-            if found == end:
-                known[words[at]] = b"".join(own)
-                at += 1
-                own = []
-            else:
-                own.append(found)
-        if at != len(words):
+        if "\n" in words:
+            at = words.index("\n")
+            (before, n), own, (after, m) = self._learn(words[:at]), self._merged(["\n"])[0], self._learn(words[at + 1 :])
+            return np.concatenate([before, own, after]), np.concatenate([n, [len(own)], m])
+        if not words:
+            return self._merged([])
+        units = pa.array(self.split("\n".join(words) + "\n"), pa.large_string())
+        apart = pc.equal(units, "\n")
+        counts = np.diff(np.r_[-1, np.flatnonzero(apart.to_numpy(zero_copy_only=False))]) - 1
+        if len(counts) != len(words):
             raise ValueError("words and their pre-tokens disagree")
+        return self.pieces.joined(units.filter(pc.invert(apart)), counts)
 
     def _even(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
         marked = pa.array([t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts], pa.large_string())
         lists = pc.split_pattern(marked, "\0")
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        fresh = [w for w in self.words.missing(words) if w != "\n"]
-        if fresh:
-            self._learn(fresh)
-        known = self.words.young
-        known["\n"] = self._piece("\n")
-        found = [known[w] for w in words]
-        for w in fresh:
-            if len(w) > SHORT:
-                del known[w]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        flat, starts = np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy()
-        own = sizes[index]
-        ends = np.cumsum(own)
-        ids = flat[np.repeat(starts[index] - (ends - own), own) + np.arange(ends[-1])]
-        stops = np.cumsum(lists.value_lengths().to_numpy())
-        return ids, np.diff(np.r_[0, ends[stops - 1]])
+        return self.words.joined(lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64))
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, of texts that are cut to pre-tokens."""
+        pieces = [self.split(t) for t in texts]
+        return self.pieces.joined(pa.array([x for own in pieces for x in own], pa.large_string()), np.fromiter(map(len, pieces), np.int64, len(pieces)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in ``kind``."""
         out: list[bytes] = [b""] * len(texts)
-        even = []
+        even, uneven = [], []
         for k, text in enumerate(texts):
             if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in UNEVEN):
                 even.append(k)
             elif self.odd(text):
                 out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-            else:
-                out[k] = b"".join(self._split(text))
-        if even:
-            ids, counts = self._even([texts[k] for k in even])
-            held, size = memoryview(ids.tobytes()), self.kind.itemsize
-            for k, end, n in zip(even, np.cumsum(counts).tolist(), counts.tolist()):
-                out[k] = bytes(held[(end - n) * size : end * size])
+            elif text:
+                uneven.append(k)
+        size = self.kind.itemsize
+        for some, make in ((even, self._even), (uneven, self._cut)):
+            if some:
+                ids, counts = make([texts[k] for k in some])
+                held = memoryview(ids.tobytes())
+                for k, end, n in zip(some, np.cumsum(counts).tolist(), counts.tolist()):
+                    out[k] = bytes(held[(end - n) * size : end * size])
         return out
 
 
@@ -291,7 +271,6 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
     The driver reads the tokenizer's file (fixed, a few MB) and ships it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     store, root = local_path(folder)
@@ -321,7 +300,6 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def read_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """Per document: ``(doc_id, start, n_tokens, ids_crc32)``, from the files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     # one row for each file, not for each document
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))

@@ -135,3 +135,40 @@ def test_edges_are_all_occurrences():
     data = "▁hello\0▁wörld▁▁".encode()
     want = sorted((k, len(p.encode()), i) for p, (i, _) in model.scores.items() for k in range(len(data)) if data[k:].startswith(p.encode()))
     assert sorted(zip(*(x.tolist() for x in encoder.edges(data)))) == want
+
+
+def test_long_units_and_many_words(spark):
+    """Texts without spaces, endless repeats, and words met again after being forgotten."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("日本語言葉文字漢学") for _ in range(5000)), "x" * 20_000, "ab" * 4000 + "é", "\x00".join("abc"), " lead", "a\n b\t\tc\r\nd "]
+    texts += [" ".join("".join(rng.choice(LETTERS) for _ in range(rng.randrange(1, 9))) for _ in range(400)) for _ in range(40)]
+    path = vocabulary_file("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoder = pieces.Encoder(pieces.Model(path))
+    encoder.known.limit = 500
+    for _ in range(2):
+        for k in range(0, len(texts), 3):
+            ids, counts = encoder(texts[k : k + 3])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts[k : k + 3]]
+    path = vocabulary_file("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = token_files.Encoder(f.read())
+    own.words.limit = own.pieces.limit = 500
+    for _ in range(2):
+        for k in range(0, len(texts), 3):
+            got = [np.frombuffer(x, own.kind).tolist() for x in own(texts[k : k + 3])]
+            assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[k : k + 3]]
+
+
+def test_pairs_are_kept_and_emptied():
+    pairs = pieces.Pairs(bits=4)
+    for start in range(0, 60, 6):
+        keys = np.arange(start, start + 6) * 7
+        assert pairs.find(keys)[1].all()
+        pairs.add(keys, keys % 2 == 0)
+        good, unknown = pairs.find(keys)
+        assert not unknown.any() and (good == (keys % 2 == 0)).all() and pairs.held <= 8
