@@ -1,8 +1,8 @@
 """Language packs and thresholds: everything that a corpus may want to change.
 
 Operators take a pack or a settings object; the defaults below hold the fixed
-values of the medical guideline corpus in Serbian (both scripts). Long keyword
-lists, such as the intents', are read from JSON or a table instead.
+values of the medical guideline corpus in Serbian (both scripts). The intents'
+keyword lists are read from ``data/guideline_intents.json``.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ IMPRINT_MARKS = ["ISBN", "CIP -", "COBISS", "ТИРАЖ", "ШТАМПА", "ИЗ
 SUMMARY_PHRASES = ["збирни преглед", "zbirni pregled"]
 
 # Abbreviations that do not end a sentence.
-ABBREVIATIONS = "dr mr str sl npr itd tj v g god sv nr br op cit upor vid vidi".split()
+ABBREVIATIONS = ["dr", "mr", "str", "sl", "npr", "itd", "tj", "v", "g", "god", "sv", "nr", "br", "op", "cit", "upor", "vid", "vidi"]
 
 # Line patterns (Java regex, with Unicode classes).
 ROMAN = "I{1,3}|IV|V|VI{0,3}|IX|X{1,3}"
@@ -74,16 +74,19 @@ HEADING_LEVELS = [
 SEGMENT_END = [rf"^({ROMAN})\.?\s+\S", rf"^\d{{1,2}}\.\s+[{CYRILLIC_UPPER}]"]
 
 # Entity types that the extractor may return.
-ENTITY_TYPES = (
-    "disease drug dose procedure symptom measure complication criterion test stage age_group comorbidity mechanism effect cause "
-    "risk_factor vaccine lifestyle frequency route duration classification differential prognosis mortality prevalence incidence "
-    "population genetic progression term referral followup monitoring"
-).split()
+ENTITY_TYPES = [
+    "disease", "drug", "dose", "procedure", "symptom", "measure", "complication", "criterion", "test", "stage", "age_group", "comorbidity",
+    "mechanism", "effect", "cause", "risk_factor", "vaccine", "lifestyle", "frequency", "route", "duration", "classification", "differential",
+    "prognosis", "mortality", "prevalence", "incidence", "population", "genetic", "progression", "term", "referral", "followup", "monitoring",
+]
 
 # Intents in order of precedence; the last is the default.
-INTENTS = (
-    "curability dosage symptoms prevention risk_factors comprehensive reference procedural comparison causal therapeutic diagnostic definitional precise"
-).split()
+INTENTS = [
+    "curability", "dosage", "symptoms", "prevention", "risk_factors", "comprehensive", "reference",
+    "procedural", "comparison", "causal", "therapeutic", "diagnostic", "definitional", "precise",
+]
+#: The intent of questions for a whole list.
+COMPREHENSIVE = "comprehensive"
 # Words of section titles that suit an intent; an intent without words suits any section.
 INTENT_SECTIONS = {
     "curability": ["lečenje", "terapija", "izlečiv", "prognoza", "uvod"],
@@ -184,13 +187,13 @@ class LanguagePack:
         return cls(**given)
 
 
-def guideline_pack(**more) -> LanguagePack:
-    """The pack of the guideline corpus, with its term dictionaries.
+GUIDELINE_INTENTS = Path(__file__).resolve().parent / "data" / "guideline_intents.json"
 
-    The keyword lists of the intents are too long to be stated here; give them as
-    ``intent_keywords`` (intent -> words).
-    """
+
+def guideline_pack(**more) -> LanguagePack:
+    """The pack of the guideline corpus, with its term dictionaries and its intents' words."""
     from . import terms
 
-    given = {"translations": terms.TRANSLATIONS, "known_terms": terms.KNOWN, "primary_categories": terms.CATEGORIES}
+    words = json.loads(GUIDELINE_INTENTS.read_text(encoding="utf-8"))["intent_keywords"]
+    given = {"translations": terms.TRANSLATIONS, "known_terms": terms.KNOWN, "primary_categories": terms.CATEGORIES, "intent_keywords": words}
     return LanguagePack(**(given | more))
