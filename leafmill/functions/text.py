@@ -264,20 +264,6 @@ def is_sentence_line(line: Column) -> Column:
     return (F.length(s) >= 50) & s.rlike(r"""\A[\p{Lu}\p{Nd}„«("']""") & bare.rlike("[.!?]")
 
 
-def prefix_match(line: Column, target: Column) -> Column:
-    after = F.substring(line, F.length(target) + 1, F.lit(1))
-    return (F.length(target) >= 10) & line.startswith(target) & after.isin("", " ")
-
-
-def overlap_match(line: Column, target: Column, settings: Settings = Settings()) -> Column:
-    wanted = F.filter(F.split(target, " "), lambda w: w != "")
-    held = F.filter(F.split(line, " "), lambda w: w != "")
-    shared = F.size(F.array_intersect(wanted, held))
-    one = (F.length(line) <= settings.one_word_line) & (shared > 0)
-    many = shared >= settings.overlap * F.size(F.array_distinct(wanted))
-    return (F.length(line) <= settings.overlap_line) & ~line.endswith(".") & F.when(F.size(wanted) == 1, one).otherwise((F.size(wanted) > 0) & many)
-
-
 def without(x: Column, own: Column) -> Column:
     """An array without any element equal to ``own`` (a null takes nothing out)."""
     return F.when(own.isNull(), x).otherwise(F.array_remove(x, own))

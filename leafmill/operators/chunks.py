@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +23,14 @@ def section_text(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """
     ranged = next_value(sections, ["source"], ["seq"], "pdf_page", "_next").where("pdf_page is not null")
     body = pages.select("source", F.col("page").alias("_page"), F.array_join(without_header(t.lines_of(F.col("text"))), "\n").alias("_body"))
-    joined = ranged.select(*KEY, "pdf_page", "_next").join(body, "source").where("_page >= pdf_page and (_next is null or _page < _next)")
+    last = pages.groupBy("source").agg(F.max("page").alias("_last"))
+    # a section's pages one by one, so that pages are met by equality
+    end = F.least("_last", F.coalesce(F.col("_next") - 1, F.col("_last")))
+    held = ranged.select(*KEY, "pdf_page", "_next").join(last, "source").where(F.col("pdf_page") <= end)
+    held = held.select(*KEY, F.explode(F.sequence(F.col("pdf_page").cast("int"), end.cast("int"))).alias("_page"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_page", "_body"))), lambda x: x["_body"]), "\n")
-    return ranged.drop("_next").join(joined.groupBy(*KEY).agg(text.alias("text")), KEY).where(t.strip(F.col("text")) != "")
+    texts = held.join(body, ["source", "_page"]).groupBy(*KEY).agg(text.alias("text"))
+    return ranged.drop("_next").join(texts, KEY).where(t.strip(F.col("text")) != "")
 
 
 def typed_lines(texts: DataFrame, pack: LanguagePack = LanguagePack()) -> DataFrame:
@@ -44,12 +47,6 @@ def typed_lines(texts: DataFrame, pack: LanguagePack = LanguagePack()) -> DataFr
     return islands(out, KEY, order, t.matches(s, pack.bullet), "list", 2)
 
 
-def _joined(condition: Column | None = None) -> Column:
-    row = F.struct("line_no", "line")
-    rows = F.collect_list(F.when(condition, row) if condition is not None else row)
-    return t.strip(F.array_join(F.transform(F.array_sort(rows), lambda x: x["line"]), "\n"))
-
-
 def recommendation_parts(text: Column, pack: LanguagePack, settings: Settings) -> Column:
     """The whole text, or its introduction and items if it is long."""
 
@@ -71,39 +68,49 @@ def recommendation_parts(text: Column, pack: LanguagePack, settings: Settings) -
     return F.when(F.length(text) <= settings.recommendation_max, F.array(text)).otherwise(F.transform(parts, t.strip))
 
 
+KINDS = ["recommendation", "table", "list_item", "paragraph"]
+
+
+def list_parts(text: Column, items: Column, settings: Settings = Settings()) -> Column:
+    """The whole list, or its items if it is long and has enough of them."""
+    whole = (F.length(text) <= settings.list_max) | (F.size(items) < settings.list_split_items)
+    return F.when(whole, F.array(text)).otherwise(items)
+
+
 def section_chunks(texts: DataFrame, pack: LanguagePack = LanguagePack(), settings: Settings = Settings()) -> DataFrame:
-    """Located sections with text, ids and paths -> chunks, kinds in fixed order."""
-    lines = typed_lines(texts, pack)
+    """Located sections with text, ids and paths -> chunks, kinds in fixed order.
+
+    Each line is tagged with the items that it belongs to (a list may stand in a
+    recommendation); one group-by gathers an item's lines, one join adds what is
+    known of its section.
+    """
+    tag = lambda kind, item: F.when(item.isNotNull(), F.struct(F.lit(kind).alias("kind"), item.cast("int").alias("item")))
+    tags = F.filter(F.array(tag(0, F.col("rec")), tag(1, F.col("tbl")), tag(2, F.col("list"))), lambda x: x.isNotNull())
+    rest = F.array(F.struct(F.lit(3).alias("kind"), F.lit(0).alias("item")))
+    lines = typed_lines(texts, pack).select(*KEY, "line_no", "line", "rec_id", "table_id", "table_title", F.explode(F.when(F.size(tags) > 0, tags).otherwise(rest)).alias("_t"))
+    # an item's first line names it; the other lines' names are null
+    names = [F.max(F.when(F.col("_t.kind") == kind, F.col(c))).alias(c) for kind, c in ((0, "rec_id"), (1, "table_id"), (1, "table_title"))]
+    items = lines.groupBy(*KEY, F.col("_t.kind").alias("kind_rank"), F.col("_t.item").alias("item")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"), *names)
+    items = items.withColumn("_lines", F.transform("_lines", lambda x: x["line"])).withColumn("_text", t.strip(F.array_join("_lines", "\n")))
+    kind = F.col("kind_rank")
+    parts = F.when(kind == 0, recommendation_parts(F.col("_text"), pack, settings)).when(kind == 1, F.array("_text"))
+    parts = parts.when(kind == 2, list_parts(F.col("_text"), F.transform("_lines", t.strip), settings)).otherwise(t.packed(t.sentences(F.col("_text")), settings.pack_target, settings.pack_min))
+    rows = items.withColumn("_parts", parts).withColumn("_total", F.size("_parts")).select("*", F.posexplode("_parts").alias("_k", "text"))
+
     base = texts.select(*KEY, "pdf_page", "section_path", "section_ids", F.size("section_ids").alias("section_level"), t.is_summary(F.col("title"), pack).alias("is_summary"), "parent_section_id", "sibling_sections")
     place = F.concat_ws("::", F.col("source"), F.element_at("section_ids", -1), F.concat(F.lit("p"), F.col("pdf_page").cast("string")))
-
-    def kind(rows: DataFrame, rank: int, name: str, chunk_id: Column, **columns: Column) -> DataFrame:
-        return rows.join(base, KEY).select(
-            chunk_id.alias("chunk_id"), "source", "pdf_page", "section_path", "section_ids", "section_level", F.lit(name).alias("chunk_type"), "is_summary", "text", "parent_section_id", "sibling_sections",
-            *(x.alias(k) for k, x in columns.items()), "seq", F.lit(rank).alias("kind_rank"), "item_seq",
-        )
-
-    recs = lines.where("rec is not null").groupBy(*KEY, "rec").agg(_joined().alias("_text"), F.min_by("rec_id", "line_no").alias("rec_id"))
-    recs = recs.withColumn("_parts", recommendation_parts(F.col("_text"), pack, settings)).select(*KEY, "rec", "rec_id", F.size("_parts").alias("total"), F.posexplode("_parts").alias("k", "text"))
-    recs = recs.withColumn("item_seq", F.col("rec") * 100_000 + F.col("k"))
-    out = [kind(recs, 0, "recommendation", F.concat_ws("::", place, F.lit("rec"), "rec_id", F.concat(F.lit("c"), F.col("k").cast("string"))), recommendation_id=F.col("rec_id"), chunk_index=F.col("k"), chunk_total=F.col("total"))]
-
-    tables = lines.where("tbl is not null").groupBy(*KEY, "tbl").agg(_joined().alias("text"), F.min_by("table_id", "line_no").alias("id"), F.min_by("table_title", "line_no").alias("name")).withColumn("item_seq", F.col("tbl") * 1)
-    out.append(kind(tables, 1, "table", F.concat_ws("::", place, F.lit("tbl"), "id"), table_id=F.col("id"), table_title=F.col("name")))
-
-    lists = lines.where("list is not null").groupBy(*KEY, "list").agg(_joined().alias("_text"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: t.strip(x["line"])).alias("_items"))
-    whole = (F.length("_text") <= settings.list_max) | (F.size("_items") < settings.list_split_items)
-    lists = lists.withColumn("_whole", whole).withColumn("_parts", F.when(whole, F.array("_text")).otherwise(F.col("_items")))
-    lists = lists.select(*KEY, "list", "_whole", F.size("_parts").alias("total"), F.posexplode("_parts").alias("k", "text")).withColumn("item_seq", F.col("list") * 100_000 + F.col("k"))
-    list_id = F.concat_ws("::", place, F.lit("list"), F.col("list").cast("string"))
-    item = F.when(F.col("_whole"), F.lit("whole")).otherwise(F.concat(F.lit("item"), F.col("k").cast("string")))
-    out.append(kind(lists, 2, "list_item", F.concat_ws("::", list_id, item), list_id=list_id, list_index=F.col("k"), list_total=F.col("total"), list_type=F.lit("bullet")))
-
-    rest = lines.where("rec is null and tbl is null and list is null").groupBy(*KEY).agg(_joined().alias("_text"))
-    packed = rest.withColumn("_parts", t.packed(t.sentences(F.col("_text")), settings.pack_target, settings.pack_min))
-    packed = packed.select(*KEY, F.size("_parts").alias("total"), F.posexplode("_parts").alias("k", "text")).withColumn("item_seq", F.col("k") * 1)
-    out.append(kind(packed, 3, "paragraph", F.concat_ws("::", place, F.lit("p"), F.concat(F.lit("c"), F.col("k").cast("string"))), chunk_index=F.col("k"), chunk_total=F.col("total")))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+    list_id = F.concat_ws("::", place, F.lit("list"), F.col("item").cast("string"))
+    piece = F.concat(F.lit("c"), F.col("_k").cast("string"))
+    entry = F.when(F.col("_total") == 1, F.lit("whole")).otherwise(F.concat(F.lit("item"), F.col("_k").cast("string")))
+    name = F.when(kind == 0, F.concat_ws("::", place, F.lit("rec"), "rec_id", piece)).when(kind == 1, F.concat_ws("::", place, F.lit("tbl"), "table_id")).when(kind == 2, F.concat_ws("::", list_id, entry)).otherwise(F.concat_ws("::", place, F.lit("p"), piece))
+    counted, listed = kind.isin(0, 3), kind == 2
+    return rows.join(base, KEY).select(
+        name.alias("chunk_id"), "source", "pdf_page", "section_path", "section_ids", "section_level",
+        F.element_at(F.array(*map(F.lit, KINDS)), kind + 1).alias("chunk_type"), "is_summary", "text", "parent_section_id", "sibling_sections",
+        F.col("rec_id").alias("recommendation_id"), F.when(counted, F.col("_k")).alias("chunk_index"), F.when(counted, F.col("_total")).alias("chunk_total"),
+        F.when(listed, list_id).alias("list_id"), F.when(listed, F.col("_k")).alias("list_index"), F.when(listed, F.col("_total")).alias("list_total"), F.when(listed, F.lit("bullet")).alias("list_type"),
+        "table_id", "table_title", "seq", "kind_rank", (F.col("item").cast("long") * 100_000 + F.col("_k")).alias("item_seq"),
+    )
 
 
 def related(chunks: DataFrame) -> DataFrame:

@@ -54,13 +54,6 @@ def without_header(lines: Column) -> Column:
     return F.when(first, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """One row for each line: ``line_no`` from 1, and the line after it."""
-    lines = pages.select("source", "page", F.posexplode(t.lines_of(F.col("text"))).alias("_n", "line"))
-    w = Window.partitionBy("source", "page").orderBy("line_no")
-    return lines.select("source", "page", (F.col("_n") + 1).alias("line_no"), "line").withColumn("next_line", F.lead("line").over(w))
-
-
 def page_stats(pages: DataFrame) -> DataFrame:
     """Per document and in all (source null): pages, least, most and floor of mean length."""
     found = pages.rollup("source").agg(

@@ -31,9 +31,15 @@ def combinations(names: Column, values: Column, most: int = 5) -> Column:
 
 
 def filled(template: Column, values: Column) -> Column:
-    """The template with each placeholder's value, single spaces."""
-    text = F.aggregate(F.map_entries(values), template, lambda held, e: F.replace(held, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
-    return t.strip(t.single_spaces(text))
+    """The template with each placeholder's value, single spaces.
+
+    The template is cut at its placeholders once, so braces in a value stay.
+    """
+    pattern = r"(?U)\{\w+\}"
+    names = F.concat(F.transform(F.regexp_extract_all(template, F.lit(pattern), F.lit(0)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2)), F.array(F.lit("")))
+    value = lambda name: F.coalesce(F.try_element_at(values, name), F.when(name == "", F.lit("")).otherwise(F.concat(F.lit("{"), name, F.lit("}"))))
+    pieces = F.zip_with(F.split(template, pattern, -1), names, lambda text, name: F.concat(text, value(name)))
+    return t.strip(t.single_spaces(F.array_join(pieces, "")))
 
 
 def generated(records: DataFrame, templates: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -81,7 +87,24 @@ def top_counts(rows: DataFrame, by: str, n: int, order: str | None = None, group
     return counted.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_first", "_k")
 
 
-def instance_stats(raw: DataFrame, kept: DataFrame) -> DataFrame:
-    """Per source: questions made, kept and removed."""
-    made = raw.groupBy("source").agg(F.count("*").alias("n_raw"), F.countDistinct("source_chunk").alias("n_chunks"))
-    return made.join(kept.groupBy("source").agg(F.count("*").alias("n_final")), "source", "left").withColumn("n_final", F.coalesce("n_final", F.lit(0))).withColumn("n_removed", F.col("n_raw") - F.col("n_final"))
+def instance_stats(chunks: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per source: all its chunks, questions made, kept and removed, kept ones by template."""
+    by = kept.groupBy("source", "template_id").agg(F.count("*").alias("n"))
+    by = by.groupBy("source").agg(F.sum("n").alias("n_final"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("template_id", "n")))).alias("by_template"))
+    out = chunks.groupBy("source").agg(F.count("*").alias("n_chunks")).join(raw.groupBy("source").agg(F.count("*").alias("n_raw")), "source", "left").join(by, "source", "left")
+    none = F.create_map().cast("map<string,bigint>")
+    out = out.select("source", "n_chunks", F.coalesce("n_raw", F.lit(0)).alias("n_raw"), F.coalesce("n_final", F.lit(0)).alias("n_final"), F.coalesce("by_template", none).alias("by_template"))
+    return out.withColumn("n_removed", F.col("n_raw") - F.col("n_final"))
+
+
+def question_report(questions: DataFrame, n: int = 10) -> DataFrame:
+    """``(dimension, value, n, rank)``: all sources by name, the ``n`` most frequent intents and templates."""
+    parts = []
+    for dimension, most in (("source", None), ("intent", n), ("template_id", n)):
+        counted = questions.groupBy(F.coalesce(dimension, F.lit("?")).alias("value")).agg(F.count("*").alias("n"))
+        order = ["value"] if most is None else [F.desc("n"), "value"]
+        # one row for each value: sources, intents and templates are short lists
+        ranked = counted.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
+        parts.append(ranked.select(F.lit(dimension).alias("dimension"), "value", "n", "rank"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

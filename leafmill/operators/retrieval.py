@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..packs import LanguagePack, Settings
+from ..packs import COMPREHENSIVE, LanguagePack, Settings
+from ..shared import written
 
 #: Queries that are compared in one pass over an index; more go in blocks.
 QUERY_BLOCK = 4096
@@ -50,12 +51,10 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str = "id", exclude
                 scores = np.round(flat @ vectors.T, 12)
                 if exclude_self:
                     scores[ids[:, None] == qids[None, :]] = -np.inf
-                q, best, at = [], [], []
-                for j in range(len(qids)):
-                    order = np.lexsort((ids, -scores[:, j]))[:k]
-                    order = order[np.isfinite(scores[order, j])]
-                    q.append(np.full(len(order), qids[j])), best.append(scores[order, j]), at.append(ids[order])
-                held.append((np.concatenate(q), np.concatenate(at), np.concatenate(best)))
+                # the k best of each query and all that equal the last of them
+                least = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(qids), -np.inf)
+                row, column = np.nonzero((scores >= least) & np.isfinite(scores))
+                held.append(_best([(qids[column], ids[row], scores[row, column])], k))
                 if len(held) > 16:
                     held = [_best(held, k)]
             if held:
@@ -103,29 +102,42 @@ def section_suits(path: Column, intent_: Column, pack: LanguagePack, translitera
     return found.isNull() | (F.size(found) == 0) | F.exists(found, lambda w: titles.contains(w))
 
 
+def is_comprehensive(query: Column, pack: LanguagePack, word_bounds: bool = False) -> Column:
+    """Whether a query asks for a whole list."""
+    return intent(query, pack, word_bounds) == COMPREHENSIVE
+
+
 def retrieve(queries: DataFrame, questions: DataFrame, passages: DataFrame, settings: Settings = Settings(), suits=None, exclude_self: bool = False) -> DataFrame:
     """Both levels for a batch of queries.
 
     ``queries(qid, intent, embedding)``, ``questions(id, source_chunk, embedding,
-    section_path, ...)``, ``passages(id, chunk_id, embedding, section_path, ...)``.
+    section_path, query, template_id, ...)``, ``passages(id, chunk_id, embedding,
+    section_path, ...)`` -> ``(qid, chunk_id, passage_id, level, rank,
+    match_score, matched_query, template_id)``.
+
     Level 1 ranks stored questions and maps them to passages, the first hit of a
-    passage counts; a query without any such hit goes to level 2, the passages
-    themselves. The k best are taken before the score and section tests, so fewer
-    than wanted may be left.
+    passage counts; of passages that share a chunk_id it is the last by id. Only
+    queries without any such hit go to level 2, the passages themselves. The k
+    best are taken before the score and section tests, so fewer than wanted may
+    be left.
     """
     suits = suits or (lambda path, name: F.lit(True))
     asked = queries.select("qid", "intent")
+    told = [F.col(c) if c in questions.columns else F.lit(None).cast("string").alias(c) for c in ("query", "template_id")]
 
     first = top_k(queries, questions, settings.question_top, exclude_self=exclude_self).where(F.col("score") >= settings.question_score)
-    first = first.join(questions.select("id", "source_chunk", F.col("section_path").alias("_path")), "id").join(asked, "qid").where(suits(F.col("_path"), F.col("intent")))
-    known = passages.select(F.col("chunk_id").alias("source_chunk")).distinct()
+    first = first.join(questions.select("id", "source_chunk", F.col("section_path").alias("_path"), *told), "id").join(asked, "qid").where(suits(F.col("_path"), F.col("intent")))
+    known = passages.groupBy(F.col("chunk_id").alias("source_chunk")).agg(F.max("id").alias("passage_id"))
     hit = Window.partitionBy("qid", "source_chunk").orderBy("rank")
     first = first.withColumn("_n", F.row_number().over(hit)).where("_n = 1").join(known, "source_chunk")
-    place = Window.partitionBy("qid").orderBy("_rank")
-    level1 = first.select("qid", F.col("source_chunk").alias("chunk_id"), F.col("score").alias("match_score"), F.col("rank").alias("_rank"), F.lit("question").alias("level"))
+    level1 = first.select("qid", F.col("source_chunk").alias("chunk_id"), "passage_id", F.col("score").alias("match_score"), F.col("rank").alias("_rank"), F.lit("question").alias("level"), F.col("query").alias("matched_query"), "template_id")
+    # read twice: which queries go on, and the result
+    level1, _ = written(level1, "level1")
 
-    second = top_k(queries, passages, settings.passage_top, exclude_self=exclude_self).where(F.col("score") >= settings.passage_score)
+    late = queries.join(level1.select("qid").distinct(), "qid", "left_anti")
+    second = top_k(late, passages, settings.passage_top, exclude_self=exclude_self).where(F.col("score") >= settings.passage_score)
     second = second.join(passages.select("id", "chunk_id", F.col("section_path").alias("_path")), "id").join(asked, "qid").where(suits(F.col("_path"), F.col("intent")))
-    level2 = second.select("qid", "chunk_id", F.col("score").alias("match_score"), F.col("rank").alias("_rank"), F.lit("passage").alias("level"))
-    both = level1.unionByName(level2.join(level1.select("qid").distinct(), "qid", "left_anti"))
-    return both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= settings.results).drop("_rank")
+    none = F.lit(None).cast("string")
+    level2 = second.select("qid", "chunk_id", F.col("id").alias("passage_id"), F.col("score").alias("match_score"), F.col("rank").alias("_rank"), F.lit("passage").alias("level"), none.alias("matched_query"), none.alias("template_id"))
+    place = Window.partitionBy("qid").orderBy("_rank")
+    return level1.unionByName(level2).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= settings.results).drop("_rank")

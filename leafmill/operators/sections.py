@@ -41,16 +41,25 @@ def section_ids(sections: DataFrame) -> DataFrame:
 
 
 def ancestors(sections: DataFrame, group: list[str]) -> DataFrame:
-    """``(group, seq, parent_seq)``: the nearest earlier row of a smaller level.
+    """Adds ``parent_seq``: the nearest earlier row of a smaller level, of any number of levels.
 
-    Set-based form for levels without ids: the parent is the last earlier row
-    below the least level in between, found per level by a running maximum.
+    A group's rows (a document's sections) are folded in order with a stack, as
+    in ``section_ids``.
     """
-    levels = [r.level for r in sections.select("level").distinct().orderBy("level").limit(64).collect()]
-    w = Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") == level, F.col("seq"))).over(w) for level in levels]
-    below = F.greatest(F.lit(None).cast("bigint"), *(F.when(F.col("level") > level, x) for level, x in zip(levels, last)), F.lit(None).cast("bigint"))
-    return sections.withColumn("parent_seq", below)
+    item = F.struct(F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"))
+    rows = sections.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    step_of = "struct<seq:bigint,level:int>"
+    start = F.struct(F.array().cast(f"array<{step_of}>").alias("stack"), F.array().cast("array<struct<seq:bigint,parent:bigint>>").alias("out"))
+
+    def step(held: Column, x: Column) -> Column:
+        def placed(stack: Column) -> Column:
+            row = F.struct(x["seq"].alias("seq"), F.try_element_at(stack, F.lit(-1))["seq"].alias("parent"))
+            return F.struct(F.array_append(stack, x).alias("stack"), F.array_append(held["out"], row).alias("out"))
+
+        return t.let(F.filter(held["stack"], lambda s: s["level"] < x["level"]), placed)
+
+    found = rows.select(*group, F.explode(F.aggregate("_items", start, step, lambda held: held["out"])).alias("_p"))
+    return sections.join(found.select(*group, F.col("_p.seq").alias("seq"), F.col("_p.parent").alias("parent_seq")), [*group, "seq"])
 
 
 def siblings(sections: DataFrame) -> DataFrame:

@@ -17,6 +17,6 @@ def chunk_counts(chunks: DataFrame, *by: str) -> DataFrame:
     return sets.select(name.alias("dimension"), value.alias("value"), "n")
 
 
-def preview(rows: DataFrame, size: int = 200) -> DataFrame:
-    """``text`` cut to its first characters, line ends as spaces."""
-    return rows.withColumn("text", F.translate(F.substring("text", 1, size), "\n", " "))
+def cut(text: str, size: int = 200) -> str:
+    """A text's first characters, line ends as spaces, with dots if there is more."""
+    return text[:size].replace("\n", " ") + ("..." if len(text) > size else "")

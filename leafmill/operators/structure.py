@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +65,24 @@ def parse_structure(pages: DataFrame, settings: Settings = Settings(), pack: Lan
     return found, recommendations(flagged, found)
 
 
-def tree_json(sections: DataFrame) -> DataFrame:
-    """Sections with their parent's ``seq``; the recursive form is for exports only."""
-    from .sections import ancestors
+def hierarchy(sections: DataFrame) -> DataFrame:
+    """``(source, sections, n_sections)``: each document's sections as nested JSON, and how many they are.
+
+    A section's children are the later ones of a greater level, up to the next of
+    its own or a smaller one. Nesting has no bound, so the documents' trees are
+    built in Python, each on its own.
+    """
 
-    return ancestors(sections, ["source"])
+    def nested(rows: pd.DataFrame) -> pd.DataFrame:
+        root: list[dict] = []
+        stack: list[dict] = []
+        for r in rows.sort_values("seq").to_dict("records"):
+            node = {k: r[k] for k in ("id", "title", "level", "page")} | {"children": []}
+            while stack and stack[-1]["level"] >= node["level"]:
+                stack.pop()
+            (stack[-1]["children"] if stack else root).append(node)
+            stack.append(node)
+        return pd.DataFrame({"source": rows["source"].iloc[:1], "sections": [json.dumps(root, ensure_ascii=False, default=int)], "n_sections": [len(rows)]})
+
+    wanted = sections.select("source", F.col("seq").cast("int").alias("seq"), "id", "title", F.col("level").cast("int").alias("level"), F.col("page").cast("int").alias("page"))
+    return wanted.groupBy("source").applyInPandas(nested, "source string, sections string, n_sections int")

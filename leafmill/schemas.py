@@ -15,3 +15,8 @@ RESULT = (
     "qid bigint, query string, intent string, level string, rank int, chunk_id string, source string, pdf_page int, section_path array<string>, chunk_type string, text string, "
     "match_score double, matched_query string, template_id string"
 )
+
+
+def names(ddl: str) -> list[str]:
+    """The columns of a table."""
+    return [column.split()[0] for column in ddl.split(", ")]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pandas as pd
@@ -53,12 +55,18 @@ _made: dict = {}
 
 
 def embedded(rows: DataFrame, make: Callable[[], Encoder], text: str = "text", prefix: str = PASSAGE_PREFIX, batch: int = 32) -> DataFrame:
-    """Adds ``embedding``: the prefixed text's vector, of length one."""
+    """Adds ``embedding``: the prefixed text's vector, of length one.
+
+    A worker makes the encoder once and keeps it for later tasks, known by the
+    pickled bytes of ``make``: equal closures share it, others never do.
+    """
+    from pyspark import cloudpickle
+
+    key = hashlib.blake2b(cloudpickle.dumps(make)).digest()
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = id(make)
         if key not in _made:
-            _made.clear()
+            _made.clear()  # one model in memory at a time
             _made[key] = make()
         encoder = _made[key]
         for texts in batches:
@@ -71,6 +79,54 @@ def embedded(rows: DataFrame, make: Callable[[], Encoder], text: str = "text", p
     return rows.withColumn("embedding", udf(F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit("")))))
 
 
+#: Our own words for the extractor; ``{types}`` and ``{text}`` are filled in.
+SYSTEM_PROMPT = """You read Serbian medical text and list the entities that it names.
+Answer with one JSON object and nothing else. Every key must be present, with an empty list if the text names none.
+Write every value in Serbian, in Latin script and lower case; translate English terms and transliterate Cyrillic ones.
+Give whole terms only, each under the one key that it belongs to: a disease is no symptom, a test is no measure, an amount with its unit is a dose.
+Leave out grades of evidence and of recommendation. Add nothing that the text does not say."""
+USER_PROMPT = """Keys of the object:
+{types}
+
+Text:
+---
+{text}
+---
+JSON:"""
+TEMPERATURE = 0.1
+OUTPUT_TOKENS = 2500
+
+
+def prompt(text: str, types: list[str]) -> str:
+    """What the extractor is asked about a text; braces in it stay."""
+    return USER_PROMPT.replace("{types}", "\n".join(f"- {x}" for x in types)).replace("{text}", text)
+
+
+class ChatClient:
+    """An extractor behind a chat-completions service (``POST url/chat/completions``)."""
+
+    def __init__(self, url: str, model: str, types: list[str], key: str = "none", seconds: float = 600):
+        self.url, self.model, self.types, self.key, self.seconds = url.rstrip("/"), model, types, key, seconds
+
+    def _ask(self, path: str, body: dict | None = None) -> dict:
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+        request = Request(self.url + path, json.dumps(body).encode() if body else None, headers)
+        with urlopen(request, timeout=self.seconds) as answer:  # noqa: S310  the caller's own service
+            return json.loads(answer.read())
+
+    def reachable(self) -> bool:
+        """Whether the service answers at all."""
+        try:
+            return "data" in self._ask("/models")
+        except (OSError, ValueError):
+            return False
+
+    def __call__(self, text: str) -> str:
+        said = [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": prompt(text, self.types)}]
+        found = self._ask("/chat/completions", {"model": self.model, "messages": said, "temperature": TEMPERATURE, "max_tokens": OUTPUT_TOKENS})
+        return found["choices"][0]["message"]["content"].strip()
+
+
 def extracted(chunks: DataFrame, make: Callable[[], Extractor], pack: LanguagePack = LanguagePack(), settings: Settings = Settings()) -> DataFrame:
     """Chunks -> entity records with any entity; an extractor's failure counts as none."""
 

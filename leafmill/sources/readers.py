@@ -39,7 +39,6 @@ def pdf_pages(spark: SparkSession, folder: str, parser: PdfParser = pypdf_parser
                 texts = parser(bytes(content))
                 yield pd.DataFrame({"source": [source] * len(texts), "page": range(1, len(texts) + 1), "text": texts})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return pages.clean_pages(chosen.mapInPandas(parse, "source string, page int, text string"), settings)
 
 

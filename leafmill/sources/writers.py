@@ -17,8 +17,8 @@ def export_jsonl(df: DataFrame, path: str) -> None:
 
 
 def export_documents(df: DataFrame, path: str, key: str = "source") -> None:
-    """One JSON document a line for each source, its rows nested."""
-    rows = df.groupBy(key).agg(F.collect_list(F.struct(*[c for c in df.columns if c != key])).alias("rows"))
+    """One JSON document a line for each source, its rows nested, in the order of their columns."""
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != key]))).alias("rows"))
     rows.select(F.to_json(F.struct(key, "rows"), {"pretty": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
@@ -34,8 +34,8 @@ def write_index(rows: DataFrame, path: str, order: list[str], model: str, prefix
     counts = staged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    numbered = staged.withColumn("_k", within).join(F.broadcast(counts.withColumn("_before", before)), "_p")
-    numbered.withColumn("embedding_id", (F.col("_before") + F.col("_k")).cast("int")).drop("_p", "_n", "_k", "_before").write.mode("overwrite").parquet(f"{path}/rows")
+    numbered = staged.withColumn("_k", within).join(counts.withColumn("_before", before), "_p")
+    numbered.withColumn("embedding_id", F.col("_before") + F.col("_k")).drop("_p", "_n", "_k", "_before").write.mode("overwrite").parquet(f"{path}/rows")
     size = F.max(F.size("embedding"))
     meta = staged.agg(F.count("*").alias("n_rows"), size.alias("dimension")).select(F.lit(model).alias("model_name"), "dimension", "n_rows", F.lit("flat inner product").alias("index_type"), F.lit(True).alias("normalized"), F.lit(prefix).alias("prefix"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
     meta.write.mode("overwrite").json(f"{path}/meta")
