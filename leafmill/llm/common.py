@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -11,52 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to a Python worker at a time; texts may be long.
+from ..shared import drop, new_path, shared_dir, written  # noqa: F401  for this subpackage's modules
+
+#: Rows of a batch that an operator handles at a time; texts may be long.
 ARROW_ROWS = 512
 #: Bytes after which an operator hands a batch back.
 ARROW_BYTES = 8 << 20
+#: Schemes of Spark and of pyarrow for the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset and Spark runs on this machine alone, as in tests, a
-    temporary folder is used; a cluster without it is an error.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not context.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/leafmill/{uuid.uuid4().hex}-{name}"
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
+def small_batches(spark: SparkSession) -> None:
+    """Nothing any more; goes with its last callers."""
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that no returned result reads any more."""
-    jvm = spark._jvm
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, without copies.
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time, long texts included."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    Spark bounds a batch by bytes (64 MB unless the session says otherwise), so a
+    worker holds that much at a time, or one longer row; what an operator makes
+    of a batch is bounded by its slices.
+    """
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def rows_out(schema: pa.Schema, rows: Iterator[tuple], weigh=None, limit: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
@@ -107,31 +83,12 @@ def worker_keeps(family: str) -> dict:
     return _kept[family]
 
 
-class Recent:
-    """Values of keys met lately, a bounded number, in two generations.
-
-    When the young generation is full it becomes the old one, and what the old
-    one alone held is forgotten; keys that are met again move to the young one.
-    """
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def missing(self, keys) -> list:
-        """Keys without a value; all others are in ``young`` afterwards."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for key in keys:
-            if key not in young:
-                found = old.get(key)
-                if found is None:
-                    out.append(key)
-                else:
-                    young[key] = found
-        return out
+def unused_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_bytes(name: str = "text"):
@@ -144,9 +101,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def local_path(uri: str) -> tuple[object, str]:
-    """A pyarrow file system and the path in it, for an executor's own writes."""
+    """A pyarrow file system and the path in it, for an executor's own writes.
+
+    Names that pyarrow has otherwise than Spark are put as pyarrow has them.
+    """
     from pyarrow import fs
 
-    if urlparse(uri).scheme:
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
+    scheme = urlparse(uri).scheme
+    if not scheme:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + uri[len(scheme) :])

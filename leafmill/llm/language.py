@@ -12,7 +12,8 @@ few windows spread evenly over the text. Everything else covers all documents.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 null doc_id is not held out and not learned from; null languages are not learned
 from; with no labelled document every text is ``und``; repeated rows get equal
-results; an empty table gives an empty result; other columns are not read.
+results; an empty table gives an empty result; other columns are not read; of a
+very long text 2,048 windows are looked at together, and all of them count.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, worker_keeps
+from .common import in_parts, text_bytes, unused_name, worker_keeps
 
 WINDOW = 64
 HIDDEN = 8
@@ -186,7 +187,7 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def _predict_batches(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
     worker_keeps("language")
-    for batch in batches:
+    for batch in in_parts(batches, 4096):
         languages = np.full(len(batch), UNKNOWN, object)
         scores = np.zeros(len(batch))
         lettered = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
@@ -215,7 +216,7 @@ def training_windows(docs: DataFrame, bounds: Bounds = Bounds()) -> tuple[list[b
     """Windows and languages of a bounded sample of the labelled documents that aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
     labelled = labelled.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("long"), F.lit("language")).alias("draw"), text_bytes())
-    there = docs.where("lang is not null").count()
+    there = labelled.count()
     share = min(1.0, 4 * bounds.documents / max(1, there))
     drawn = labelled.where(F.pmod("draw", F.lit(1 << 30)) <= int(share * (1 << 30)))
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
@@ -233,7 +234,6 @@ def fitted(docs: DataFrame, bounds: Bounds = Bounds()) -> Network | None:
 def identified(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """``docs(doc_id, text, lang)`` -> ``(doc_id, held_out, lang_pred, score)``."""
     net = fitted(docs, bounds)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _predict_batches(batches, net)
@@ -314,15 +314,15 @@ def evidence(docs: DataFrame, bounds: Bounds = Bounds()) -> tuple[Network | None
 
 def _keep_batches(batches: Iterator[pa.RecordBatch], net: Network | None, known: Evidence | None) -> Iterator[pa.RecordBatch]:
     """Whole rows, the text's UTF-8 bytes read in place, those that are accepted."""
-    for batch in batches:
+    for batch in in_parts(batches):
         texts = batch.column("text").cast(pa.binary())
         filled = pa.compute.fill_null(texts, b"")
-        n = pa.array(np.zeros(len(batch), np.int64))
-        judged = pa.RecordBatch.from_arrays([n, filled, batch.column("_lettered"), batch.column("_lettered")], ["doc_id", "text", "held_out", "lettered"])
+        n, lettered = pa.array(np.zeros(len(batch), np.int64)), batch.column(batch.num_columns - 1)
+        judged = pa.RecordBatch.from_arrays([n, filled, lettered, lettered], ["doc_id", "text", "held_out", "lettered"])
         for found in _predict_batches(iter([judged]), net):
             told = zip(filled, found.column("lang_pred").to_pylist(), found.column("score").to_pylist())
             good = [lang != UNKNOWN and known.accepts(text.as_py(), score) for text, lang, score in told]
-            yield batch.drop_columns(["_lettered"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(good, pa.bool_()))
 
 
 def recognised(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
@@ -336,11 +336,10 @@ def recognised(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     import pyarrow.compute  # noqa: F401
 
     net, known = evidence(docs, bounds)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         return _keep_batches(batches, net, known)
 
-    return docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    return docs.withColumn(unused_name(docs, "lettered"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)

@@ -9,7 +9,8 @@ Defined cases: a null text is the empty text; the empty payload becomes one
 frame of filler; bytes that are no container, or whose tables contradict each
 other, make ``probe`` return None (a null struct in the DataFrame form); an
 empty table gives an empty result; rows are independent, so ties, repeats and
-other columns do not matter.
+other columns do not matter; a null doc_id stays null; a very long text is held
+twice by one task, as payload and as container.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, small_batches, text_bytes
+from .common import rows_out, text_bytes
 
 #: Samples of a frame; a payload is filled up to a positive multiple of it.
 FRAME = 576
@@ -231,7 +232,6 @@ def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def media_column(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_bytes, media)``."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(_store_batches, "doc_id long, n_bytes long, media binary")
 
 

@@ -10,16 +10,10 @@ from . import decontaminate, language, media, pieces, secrets, simhash, substrin
 from .common import table
 
 
-#: Where the vocabulary files of public tokenizers are.
-TOKENIZERS = "/opt/tokenizers"
-
-
 def vocabulary_file(name: str) -> str:
-    """A file of the installed package of public tokenizers, or of its folder."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    """A file of the installed package of public tokenizers."""
+    import public_tokenizers
+
     return str(public_tokenizers.path(name))
 
 

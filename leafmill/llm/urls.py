@@ -13,7 +13,8 @@ Link targets may be absolute, ``//host/...`` or ``/path``; others are no edges.
 Defined cases: a null URL or one without ``://`` has an empty host and path, no
 rule and no class, and is allowed; null html has no links; a null page_id keeps
 its row; repeated rows get equal results; an empty table gives an empty result;
-other columns are not read.
+other columns are not read; a very long page is gone through by patterns without
+nested repeats.
 """
 
 from __future__ import annotations

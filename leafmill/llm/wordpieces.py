@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, worker_keeps
+from .common import text_bytes, worker_keeps
 
 #: Words whose piece counts a worker remembers before it starts anew.
 REMEMBER = 300_000
@@ -140,7 +140,6 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
     The driver reads the vocabulary file (fixed, under a few MB) and ships it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
