@@ -1,27 +1,34 @@
-"""Substring dedup by relative Lempel-Ziv factors over an indexed reference.
-
-Every 50-word window of a document holds one anchor: the least hash among its
-19-word runs. The windows of one anchor are neighbours, and the stretch of words
-that they span is a candidate factor. Hash-partitioning anchors is the
-reference's index: each document is factored against every reference block that
-holds one of its anchors, and no other block can hold one of its windows.
-
-1. A factor whose anchor no other document has is a literal.
-2. A factor whose anchor has one stretch of words only is a copy of the same
-   stretch in the least document: it is long enough as a whole.
-3. Where an anchor has different stretches, the factor may be shorter than its
-   stretch: its windows are compared one by one, which checks each factor's
-   boundaries exactly.
-
-Spans of windows that an earlier document has are merged per document, and the
-words that they cover are removed. All group-bys have map-side minima; no group
-is gathered anywhere, however many documents share a passage.
+"""Substring dedup by relative Lempel-Ziv parsing against an indexed reference.
+
+Every 50-word window holds one anchor: the least hash among its 19-word runs. The
+windows of one anchor in a text are neighbours; the words that they span are a
+stretch. The reference holds, for each anchor, the stretch of the least doc_id
+that has it, and its index is the anchor: each hash partition of anchors is one
+reference block. A text is parsed against every block that holds one of its
+anchors; no other block can hold one of its windows.
+
+1. A stretch whose anchor no other document has is a literal.
+2. Elsewhere the anchor gives a place in the reference, and the factor is grown
+   from there word by word, greedily, as far as text and reference agree in both
+   directions. Where all stretches of an anchor have one hash of their words, the
+   factor is the whole stretch and no words are read again.
+3. Factors of 50 words or more are kept: their windows stand in the reference's
+   document. As equal windows hold their anchor at the same place, no window of
+   this anchor in the reference's stretch is missed by the one factor.
+4. Windows that no factor holds cross a factor's boundary. They are compared with
+   the like windows of all other documents, by anchor and a hash of their words.
+
+The windows that an earlier document has are merged per text, and the words that
+they cover are removed. Group-bys have map-side minima; no group is gathered
+anywhere, however many documents share a passage. Words are compared as bytes in
+step 2 where stretches differ, else by hashes of 128 bits in all.
 
 Defined cases: a null or empty text has no words; texts under 50 words lose
 nothing; repeated texts keep the words of the least doc_id only; rows that share
-a doc_id are one document's copies and do not remove each other's words; a null
-doc_id removes nothing and is not judged; an empty table gives an empty result;
-other columns are not read.
+a doc_id are one document's, whether their texts are equal or not, and do not
+remove each other's words; a null doc_id removes nothing and is not judged; a very
+long text is hashed whole by one task, about 60 bytes for each of its words; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, small_batches, text_bytes, written
+from .common import drop, in_parts, text_bytes, worker_keeps, written
 
 WINDOW = 50
 #: Words of an anchor: a window holds 32 of them, a power of two.
@@ -87,8 +94,8 @@ def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def anchored(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of each candidate factor."""
+def anchored(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows, place of the anchor) of each stretch."""
     low = np.uint64(SEGMENT * 2 - 1)
     parts = []
     for start in range(0, len(words) - WINDOW + 1, SEGMENT):
@@ -101,31 +108,34 @@ def anchored(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             size *= 2
         where = (least & low).astype(np.int64)
         first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        parts.append((runs[where[first]], first + start, np.diff(np.append(first, len(where)))))
+        parts.append((runs[where[first]], first + start, np.diff(np.append(first, len(where))), where[first] + start))
     if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
 
 
-FACTORS = ["doc_id", "anchor", "stretch", "first", "n"]
+STRETCHES = ["doc_id", "mark", "anchor", "stretch", "first", "n", "at"]
+STRETCHES_DDL = "doc_id long, mark long, anchor long, stretch long, first int, n int, at int"
 
 
-def _factor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_keeps("substrings")
     held, size = [], 0
 
     def out():
         columns = [np.concatenate(x) for x in zip(*held)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], FACTORS)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], STRETCHES)
 
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+    for batch in in_parts(batches):
+        for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             words = text.as_py().split()
             if doc is None or len(words) < WINDOW:
                 continue
             hashes = word_hashes(words)
-            anchor, first, n = anchored(hashes)
+            anchor, first, n, at = anchored(hashes)
             stretch = stretch_hashes(hashes, first, first + n + WINDOW - 1)
-            held.append((np.full(len(anchor), doc, np.int64), anchor.view(np.int64), stretch.view(np.int64), first.astype(np.int32), n.astype(np.int32)))
+            ids = np.full(len(anchor), doc, np.int64), np.full(len(anchor), mark, np.int64)
+            held.append((*ids, anchor.view(np.int64), stretch.view(np.int64), *(x.astype(np.int32) for x in (first, n, at))))
             size += len(anchor)
             if size > 1 << 17:
                 yield out()
@@ -134,86 +144,158 @@ def _factor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out()
 
 
-def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) -> the result, or the windows to compare and the text."""
-    kept, size = [], 0
-    for batch in batches:
-        for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            data = text.as_py()
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+ASKED = pa.list_(pa.struct([("anchor", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("least", pa.int64()), ("words", pa.binary())]))
+RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", SPANS), ("kept", pa.binary())]
+RESULT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,n:int>>, kept binary"
+JUDGED = pa.schema([*RESULT, ("mark", pa.int64()), ("text", pa.binary()), ("copied", SPANS), ("asked", ASKED)])
+JUDGED_DDL = f"{RESULT_DDL}, mark long, text binary, copied array<struct<first:int,n:int>>, asked array<struct<anchor:long,first:int,n:int,at:int,least:long,words:binary>>"
+
+
+def remove(words: list[bytes], windows: list[tuple[int, int]]) -> tuple[int, list[dict], bytes]:
+    """(words removed, their spans, what stays) for runs of (first window, windows)."""
+    if not windows:
+        return 0, [], b" ".join(words)
+    steps = np.zeros(len(words) + 1, np.int64)
+    for first, n in windows:
+        steps[first] += 1
+        steps[first + n + WINDOW - 1] -= 1
+    gone = np.cumsum(steps[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).reshape(-1, 2).tolist()
+    kept, at = [], 0
+    for a, b in edges:
+        kept += words[at:a]
+        at = b
+    return int(gone.sum()), [{"first": a, "n": b - a} for a, b in edges], b" ".join(kept + words[at:])
+
+
+def _result(doc: int | None, words: list[bytes], windows: list[tuple[int, int]], whole: bool) -> tuple:
+    n, spans, kept = remove(words, windows)
+    return doc, len(words), n, hashlib.sha256(kept).hexdigest(), spans, kept if whole else None
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _judge_batches(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, mark, text, spans) -> the result, or the stretches to factor and the text."""
+    worker_keeps("substrings")
+    rows, size = [], 0
+    for batch in in_parts(batches):
+        for doc, mark, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            data, spans = text.as_py(), spans.as_py() or ()
             words = data.split()
-            copied = [(s["first"], s["n"]) for s in spans or () if s["copied"]]
-            unsure = [s for s in spans or () if not s["copied"]]
+            copied = [(s["first"], s["n"]) for s in spans if s["copied"]]
+            unsure = [s for s in spans if not s["copied"]]
             if unsure:
-                windows = run_hashes(word_hashes(words), WINDOW)
-                at = np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in unsure])
-                of = np.repeat(np.array([s["anchor"] for s in unsure], np.int64), [s["n"] for s in unsure])
-                ask = [{"anchor": a, "window": w, "at": p} for a, w, p in zip(of.tolist(), mixed(windows[at]).view(np.int64).tolist(), at.tolist())]
-                kept.append((doc, None, None, None, data, [{"first": a, "n": n} for a, n in copied], ask))
-                size += len(data) + 24 * len(ask)
+                asked = [{k: s[k] for k in ("anchor", "first", "n", "least")} | {"at": s["at"] - s["first"], "words": b" ".join(words[s["first"] : s["first"] + s["n"] + WINDOW - 1])} for s in unsure]
+                rows.append((doc, *[None] * 5, mark, data, [{"first": a, "n": n} for a, n in copied], asked))
+                size += len(data) + 600 * len(asked)
             else:
-                kept.append((doc, len(words), *remove(words, copied), None, None, None))
-            size += 100
+                rows.append((*_result(doc, words, copied, whole), *[None] * 4))
+                size += 100 + len(data) * whole
             if size > 4 << 20:
-                yield _judged(kept)
-                kept, size = [], 0
-    if kept:
-        yield _judged(kept)
+                yield _rows(rows, JUDGED)
+                rows, size = [], 0
+    if rows:
+        yield _rows(rows, JUDGED)
 
 
-SPANS = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
-ASKED = pa.list_(pa.struct([("anchor", pa.int64()), ("window", pa.int64()), ("at", pa.int32())]))
-JUDGED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("copied", SPANS), ("asked", ASKED)])
+FACTORS = ["doc_id", "mark", "anchor", "first", "n", "window"]
+FACTORS_DDL = "doc_id long, mark long, anchor long, first int, n int, window long"
 
 
-def _judged(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), JUDGED)], schema=JUDGED)
+def agreement(text: list[bytes], at: int, reference: list[bytes], place: int) -> tuple[int, int]:
+    """The longest factor through ``text[at]``, as [start, end), that the reference holds around ``place``."""
+    start, end = at, at
+    for x, y in zip(text[at:], reference[place:]):
+        if x != y:
+            break
+        end += 1
+    for x, y in zip(reversed(text[:at]), reversed(reference[:place])):
+        if x != y:
+            break
+        start -= 1
+    return start, end
 
 
-def remove(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, str]:
-    """(removed, sha256 of what stays) for spans of (first window, windows)."""
-    if not spans:
-        return 0, hashlib.sha256(b" ".join(words)).hexdigest()
-    steps = np.zeros(len(words) + 1, np.int32)
-    for first, n in spans:
-        steps[first] += 1
-        steps[first + n + WINDOW - 1] -= 1
-    gone = np.cumsum(steps[:-1]) > 0
-    return int(gone.sum()), hashlib.sha256(b" ".join([words[k] for k in np.flatnonzero(~gone)])).hexdigest()
-
-
-def _finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _factor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches beside their reference -> windows that a factor holds, and the others with a hash each."""
+    worker_keeps("substrings")
+    held, reference = None, []
+    for batch in in_parts(batches, 4096):
+        copied, crossing, hashes = [], [], []
+        for doc, mark, anchor, first, n, at, least, data, place, other in zip(*(c.to_pylist() for c in batch.columns)):
+            words = data.split(b" ")
+            if other != held:
+                held, reference = other, other.split(b" ")
+            start, end = agreement(words, at, reference, place)
+            low, high = max(0, start), min(n, end - WINDOW + 1)  # windows that the factor holds
+            if low >= high:
+                low = high = n
+            elif doc > least:
+                copied.append((doc, mark, anchor, first + low, high - low))
+            if high - low < n:
+                crossing.append((doc, mark, anchor, first, n, low, high))
+                hashes += map(_word_hash, words)
+        columns = [np.array(x, np.int64) for x in zip(*copied)] or [np.empty(0, np.int64)] * 5
+        windows = np.full(len(columns[0]), 0, np.int64)
+        if crossing:
+            own = [np.array(x, np.int64) for x in zip(*crossing)]
+            first, n, low, high = own[3:]
+            places = np.repeat(np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            apart = (inside < np.repeat(low, n)) | (inside >= np.repeat(high, n))
+            found = mixed(run_hashes(np.array(hashes, np.uint64), WINDOW))[places[apart]].view(np.int64)
+            more = [*(np.repeat(x, n)[apart] for x in own[:3]), (np.repeat(first, n) + inside)[apart], np.zeros(len(found), np.int64)]
+            columns, windows = [np.r_[x, y] for x, y in zip(columns, more)], np.r_[windows, found]
+        if len(windows):
+            kinds = [np.int64, np.int64, np.int64, np.int32, np.int32]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(k)) for x, k in zip(columns, kinds)), pa.array(windows)], FACTORS)
+
+
+def _finish_batches(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    worker_keeps("substrings")
+    for batch in in_parts(batches):
         rows = []
-        for doc, text, copied, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            words = text.as_py().split()
-            spans = [(s["first"], s["n"]) for s in copied or ()] + [(at, 1) for at in found or ()]
-            rows.append((doc, len(words), *remove(words, spans)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 4, list(JUDGED)[:4])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
+        for doc, text, copied, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+            windows = [(s["first"], s["n"]) for s in [*(copied.as_py() or ()), *(found.as_py() or ())]]
+            rows.append(_result(doc, text.as_py().split(), windows, whole))
+        yield _rows(rows, pa.schema(RESULT))
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
+def deduplicated(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, n_words, n_removed, kept_sha256, spans)``.
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> words, removed words and digest of the rest."""
+    ``spans`` are the removed runs of words, (first, n). whole: also ``kept``, the
+    UTF-8 bytes of what stays.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    factors, factors_path = written(texts.mapInArrow(_factor_batches, "doc_id long, anchor long, stretch long, first int, n int"), "factors")
-    shared = factors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), text_bytes())
+    stretches, stretches_path = written(texts.mapInArrow(_stretch_batches, STRETCHES_DDL), "stretches")
+    shared = stretches.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"))
     # written, so that both sides of the join are dealt out and Spark splits a hot anchor
     shared, shared_path = written(shared.where("least < most").select("anchor", "least", (F.col("s0") == F.col("s1")).alias("copied")), "shared")
-    judged = factors.join(shared, "anchor").where("not copied or doc_id > least")
-    spans = judged.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "anchor", "copied")).alias("spans"))
-    first, _ = written(
-        texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_judge_batches, f"{RESULT}, text binary, copied array<struct<first:int,n:int>>, asked array<struct<anchor:long,window:long,at:int>>"),
-        "judged",
-    )
-    drop(spark, factors_path, shared_path)
-    asked = first.where("asked is not null").select("doc_id", F.explode("asked").alias("w")).select("doc_id", "w.*")
-    earliest = asked.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    earliest, _ = written(earliest.select("anchor", "window", "least"), "earliest")
-    found = asked.join(earliest, ["anchor", "window"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("at").alias("found"))
-    late = first.where("asked is not null").select("doc_id", "text", "copied").join(found, "doc_id", "left")
-    done = first.where("asked is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
-    return done.unionByName(late.select("doc_id", "text", "copied", "found").mapInArrow(_finish_batches, RESULT))
+    met = stretches.join(shared, "anchor").where("not copied or doc_id > least")
+    spans = met.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n", "at", "anchor", "least", "copied")).alias("spans"))
+    asked_of = texts.join(spans, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "spans")
+    judged, judged_path = written(asked_of.mapInArrow(partial(_judge_batches, whole=whole), JUDGED_DDL), "judged")
+    drop(spark, stretches_path, shared_path)
+
+    asked = judged.where("asked is not null").select("doc_id", "mark", F.explode("asked").alias("s")).select("doc_id", "mark", "s.*")
+    of_least = asked.where("doc_id = least").groupBy("anchor").agg(F.min_by(F.struct("at", "words"), F.struct("mark", "first")).alias("r"))
+    reference, reference_path = written(of_least.select("anchor", F.col("r.at").alias("place"), F.col("r.words").alias("other")), "reference")
+    beside = asked.join(reference, "anchor").select("doc_id", "mark", "anchor", "first", "n", "at", "least", "words", "place", "other")
+    factors, factors_path = written(beside.mapInArrow(_factor_batches, FACTORS_DDL), "factors")
+    crossing = factors.where("n = 0")
+    earliest = crossing.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    earliest, earliest_path = written(earliest.select("anchor", "window", "least"), "earliest")
+    again = crossing.join(earliest, ["anchor", "window"]).where("doc_id > least").select("doc_id", "mark", "first", F.lit(1).alias("n"))
+    found = factors.where("n > 0").select("doc_id", "mark", "first", "n").unionByName(again)
+    found, _ = written(found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("found")), "found")
+    drop(spark, reference_path, factors_path, earliest_path)
+    late = judged.where("asked is not null").select("doc_id", "mark", "text", "copied").join(found, ["doc_id", "mark"], "left")
+    late = late.select("doc_id", "text", "copied", "found").mapInArrow(partial(_finish_batches, whole=whole), RESULT_DDL)
+    out = judged.where("asked is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept").unionByName(late)
+    return out if whole else out.drop("kept")

@@ -61,9 +61,10 @@ def test_segments_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(sub, "SEGMENT", 64)
     rng = np.random.default_rng(0)
     words = rng.integers(0, 2**63, 1000).astype(np.uint64)
-    anchor, first, n = sub.anchored(words)
+    anchor, first, n, at = sub.anchored(words)
+    assert ((first <= at) & (at + sub.ANCHOR <= first + sub.WINDOW)).all()
     assert n.sum() == 951 and first[0] == 0 and (np.diff(first) == n[:-1]).all()
-    moved, at, _ = sub.anchored(words[100:])
+    moved, *_ = sub.anchored(words[100:])
     assert len(set(moved.tolist()) - set(anchor.tolist())) <= 1
 
 
@@ -83,3 +84,48 @@ def test_null_ids_repeats_and_empty(spark):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed) for r in sub.deduplicated(df).collect())
     assert got == [(-1, 0), (7, 0), (7, 0), (9, 60)]
     assert sub.deduplicated(df.limit(0)).collect() == []
+
+
+def brute_rows(rows):
+    """The same for rows (doc_id, text) that may share a doc_id."""
+    words = [(d, (t or "").split()) for d, t in rows]
+    first = {}
+    for d, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), d)
+    out = []
+    for d, w in words:
+        gone = {p for k in range(len(w) - 49) if d is not None and first[tuple(w[k : k + 50])] < d for p in range(k, k + 50)}
+        out.append((-1 if d is None else d, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+def test_one_id_with_different_texts(spark):
+    long, other = " ".join(f"v{k}" for k in range(700)), " ".join(f"w{k}" for k in range(60))
+    edited = long.replace("v300 ", "edit ")
+    rows = [(1, long), (7, long), (7, other), (7, other + " " + long[:900]), (8, other + " tail"), (1, edited), (9, edited + " " + other), (9, "short"), (None, long), (7, long)]
+    got = sub.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), whole=True).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in got) == brute_rows(rows)
+    for r in got:
+        assert sum(s.n for s in r.spans) == r.n_removed
+
+
+def test_many_variants_of_one_passage(spark):
+    """Near copies: factors end at edits, and windows across them stand in several documents."""
+    rng = random.Random(4)
+    base = [f"p{k}" for k in range(260)]
+    rows = []
+    for d in range(120):
+        own = list(base)
+        for k in rng.sample(range(0, 260, 20), rng.randrange(4)):
+            own[k] = f"edit{rng.randrange(3)}"
+        rows.append((rng.randrange(60), " ".join(own[rng.randrange(80) :])))
+    got = sub.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), whole=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in got) == brute_rows(rows)
+
+
+def test_factors_are_the_longest_through_a_place():
+    a, b = list("xxabcdefyy"), list("qabcdefz")
+    assert sub.agreement(a, 4, b, 3) == (2, 8)
+    assert sub.agreement(a, 0, b, 0) == (0, 0)
+    assert sub.agreement(a, 2, b, 1) == (2, 8)
