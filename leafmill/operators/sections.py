@@ -127,7 +127,8 @@ def heading_pages(sections: DataFrame, pages: DataFrame, located: DataFrame, set
         F.sequence(F.lit(1), F.size("_lines")),
         lambda k: F.struct(t.heading_key(F.element_at("_lines", k)).alias("a"), F.when(k < F.size("_lines"), t.heading_key(F.concat(F.element_at("_lines", k), F.lit(" "), F.try_element_at(F.col("_lines"), k + 1)))).alias("b")),
     )
-    keyed = kept.select("source", "page", F.when(F.size("_lines") > 0, pairs).alias("keys"))
+    # under names of their own, as both sides may come from one table
+    keyed = kept.select(F.col("source").alias("source"), "page", F.when(F.size("_lines") > 0, pairs).alias("keys"))
 
     def walk(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         queue = [r for r in own.sort_values("seq").to_dict("records") if r["_target"]]
@@ -148,7 +149,7 @@ def heading_pages(sections: DataFrame, pages: DataFrame, located: DataFrame, set
         out = [(r["source"], r["seq"], *state[r["seq"]]) for r in own.to_dict("records")]
         return pd.DataFrame(out, columns=["source", "seq", "pdf_page", "pages_tried"]).astype({"pdf_page": "Int32", "pages_tried": "Int32"})
 
-    left = wanted.select("source", "seq", "_target", "_variants").groupBy("source")
+    left = wanted.select(F.col("source").alias("source"), "seq", "_target", "_variants").groupBy("source")
     found = left.cogroup(keyed.groupBy("source")).applyInPandas(walk, "source string, seq int, pdf_page int, pages_tried int")
     mapped = wanted.join(found, ["source", "seq"], "left")
     in_order = lambda x: F.array_sort(F.collect_list(F.when(x, F.struct("seq", "title", F.col("_target").alias("target_norm"), "pages_tried"))))

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as t
-from .operators import chunks, entities, pages, questions, retrieval, runs, sections, stats, structure, toc
+from .operators import chunks, entities, pages, questions, retrieval, runs, sections, stats, toc
 from .packs import LanguagePack, Settings
+from .sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,30 +170,8 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "source", "pdf_page", "section_ids", "section_path", "chunk_type", "chunk_index", "chunk_total", "sibling_sections", "related_lists", "text")
 
 
-@query()
-def heading_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles taken from pages, found again on them with the forward cursor."""
-    held = as_pages(spark, sf_dir)
-    wanted = toy_sections(spark, sf_dir)
-    nowhere = spark.createDataFrame([], "source string, page int")
-    found, _ = sections.heading_pages(wanted.drop("pdf_page"), held.select("source", "page", "text"), nowhere)
-    return found.select("source", "seq", "title", "pdf_page")
 
 
-@query()
-def toc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents pages of each source by the four searches, parsed to entries."""
-    loose = Settings(toc_ratio_untitled=0.0, toc_ratio_titled=0.0, min_toc_lines=1, fallback_lines=1, fallback_dot_lines=0, fallback_sentences=5)
-    found, _ = toc.parse_toc(as_pages(spark, sf_dir), None, loose)
-    return found
-
-
-@query()
-def structure_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and recommendations read from the lines themselves."""
-    found, recs = structure.parse_structure(as_pages(spark, sf_dir))
-    return recs.select("source", "line_no", "id", "page", "section_id", "text").unionByName(found.select("source", F.col("seq").alias("line_no"), "id", "page", F.col("id").alias("section_id"), F.col("title").alias("text")))
-
 
 # --- ordered events ---
 
@@ -291,9 +270,8 @@ WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS items FROM docume
 p AS (SELECT doc_id, CASE WHEN length(text) <= 500 OR len(items) < 5 THEN [text] ELSE items END AS parts FROM l)
 SELECT doc_id, k - 1 AS list_index, len(parts) AS list_total, md5(parts[k]) AS digest FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS k FROM p)""")
 def list_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("items", t.lines_of(F.col("text")))
-    parts = F.when((F.length("text") <= 500) | (F.size("items") < 5), F.array("text")).otherwise(F.col("items"))
-    rows = docs.withColumn("parts", parts).select("doc_id", F.size("parts").alias("list_total"), F.posexplode("parts").alias("list_index", "item"))
+    parts = chunks.list_parts(F.col("text"), t.lines_of(F.col("text")))
+    rows = table(spark, sf_dir, "documents").withColumn("parts", parts).select("doc_id", F.size("parts").alias("list_total"), F.posexplode("parts").alias("list_index", "item"))
     return rows.select("doc_id", "list_index", "list_total", md5(F.col("item")).alias("digest"))
 
 
@@ -304,11 +282,12 @@ def list_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn,
   trim(substr(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_\s]', '', 'g'), '\s+', '_', 'g'), 1, 30), '_') AS slug,
   regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[?!.,;:]+$', ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS query_key,
-  translate(text, 'аеојсркмтнивхАЕОЈСРКМТНИВХ', 'aeojcpkmtnubxAEOJCPKMTNUBX') AS folded, text AS latin
+  translate(translate(text, 'abvgdezijklmnoprstufhc', 'абвгдезијклмнопрстуфхц'), 'аеојсркмтнивх', 'aeojcpkmtnubx') AS folded, text AS latin
 FROM conversations""")
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.slug(x).alias("slug"), t.query_key(x).alias("query_key"), t.fold_homoglyphs(x).alias("folded"), t.to_latin(x).alias("latin"))
+    cyrillic = F.translate(x, "abvgdezijklmnoprstufhc", "абвгдезијклмнопрстуфхц")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.slug(x).alias("slug"), t.query_key(x).alias("query_key"), t.fold_homoglyphs(cyrillic).alias("folded"), t.to_latin(cyrillic).alias("latin"))
 
 
 TOY_INTENTS = LanguagePack(intents=["dosage", "comparison", "causal", "precise"], intent_keywords={"dosage": ["the th", "dose"], "comparison": ["and "], "causal": ["er", "ou"]})
@@ -338,13 +317,6 @@ def category_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("p_partkey", "category").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("terms"))
 
 
-@query()
-def fuzzy_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names with an edit, corrected to the nearest known name."""
-    part = table(spark, sf_dir, "part")
-    pack = LanguagePack(known_terms=["bolest", "astma", "terapija", "promo brushed", "economy", "standard"])
-    return entities.fuzzy_terms(part.select(F.lower(F.regexp_replace("p_type", "a", "e")).alias("term")), pack)
-
 
 @query("""
 WITH a AS (SELECT event_id, event_id % 4 AS kind, props FROM events)
@@ -433,14 +405,9 @@ def related_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+    return writers.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
-def toc_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select("doc_id", "source")
-
 
 # --- vectors ---
 
@@ -490,8 +457,12 @@ def two_level_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import made_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import made_queries  # noqa: F401
+
     return dict(SQL)
