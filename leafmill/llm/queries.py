@@ -26,7 +26,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return substrings.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urls.oracle()}
+    return {"op3_substring_dedup": substrings.oracle(), "op8_url_filter": urls.oracle()}

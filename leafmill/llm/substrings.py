@@ -299,3 +299,16 @@ def deduplicated(docs: DataFrame, whole: bool = False) -> DataFrame:
     late = late.select("doc_id", "text", "copied", "found").mapInArrow(partial(_finish_batches, whole=whole), RESULT_DDL)
     out = judged.where("asked is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept").unionByName(late)
     return out if whole else out.drop("kept")
+
+
+def oracle() -> str:
+    """The same rows by every window of every document, on DuckDB; doc_ids are distinct and not null."""
+    return r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS k FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM i),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, k + o AS p FROM (SELECT doc_id, k, unnest(generate_series(0, 49)) AS o FROM h JOIN f USING (h) WHERE first < doc_id)),
+r AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, n: NOT list_contains(gone, n)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
