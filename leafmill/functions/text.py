@@ -71,16 +71,15 @@ def to_latin(text: Column) -> Column:
 def heading_key(text: Column) -> Column:
     """A heading or line in the form that headings are compared in."""
     out = strip(text)
-    for pattern, by in ((r"\A#+\s*", ""), (r"\.{2,}.*$", ""), (r"\s+", " "), (r"\A([IVXivx]+|\d+|[a-zA-Z])\.\s+", "$1 "), (r"[.,;:!?]+\z", "")):
+    for pattern, by in packs.HEADING_CLEAN:
         out = F.regexp_replace(out, U + pattern, by)
     return strip(F.lower(fold_homoglyphs(out)))
 
 
 def heading_variants(key: Column) -> Column:
     """The key, without a leading marker, without the word for chapter."""
-    chapter = "пoглabљe"  # the word after homoglyph folding
-    bare = F.regexp_replace(key, r"(?dU)\A(i{1,3}|iv|v|vi{0,3}|ix|x|\d{1,3}|[a-z])\s+", "")
-    return F.array_distinct(F.filter(F.array(key, bare, F.regexp_replace(key, f"{U}\\A{chapter}\\s+", "")), lambda x: x != ""))
+    bare = F.regexp_replace(key, U + packs.HEADING_MARK, "")
+    return F.array_distinct(F.filter(F.array(key, bare, F.regexp_replace(key, f"{U}\\A{packs.CHAPTER}\\s+", "")), lambda x: x != ""))
 
 
 def heading_target(marker_text: Column, id_: Column, title: Column) -> Column:
@@ -113,7 +112,7 @@ def sentence_starts(text: Column) -> Column:
     """How many sentences begin after another one on a page."""
     upper = f"[{packs.CYRILLIC_UPPER}A-Z]"
     bare = F.regexp_replace(text, r"\.{2,}", "")
-    bare = F.regexp_replace(bare, r"(?dUimu)^\s*(\d+\.|[IVX]+\.|ПОГЛАВЉЕ\s+\d+\.)\s*", "")
+    bare = F.regexp_replace(bare, "(?dUimu)" + packs.LINE_MARK, "")
     return F.size(F.regexp_extract_all(bare, F.lit(f"{U}[.!?]\\s+{upper}"), F.lit(0)))
 
 
@@ -183,7 +182,7 @@ def family(marker_family: Column, line_style: Column) -> Column:
 def toc_entry(line: Column) -> Column:
     """``struct<text,page>`` of a contents line: dot leader, or spaces before a number."""
     text = strip(line)
-    dots, gap = r"\.{2,}\s*(\d{1,4})?\s*$", r"\s{2,}(\d{1,4})\s*$"
+    dots, gap = packs.ENTRY_DOTS, packs.ENTRY_GAP
 
     def cut(pattern: str) -> Column:
         page = F.regexp_extract(text, U + pattern, 1).try_cast("int")
@@ -238,12 +237,13 @@ def is_level1_title(title: Column) -> Column:
 
 def is_reference(text: Column) -> Column:
     """Whether a line reads like a bibliography entry."""
-    upper, lower = f"[A-Z{packs.CYRILLIC_UPPER}]", f"[a-z{packs.CYRILLIC_LOWER}]"
     low, start = F.lower(text), F.substring(text, 1, 150)
-    words = low.contains("et al") | low.contains("doi:") | low.contains("pmid") | low.contains("http://") | low.contains("https://")
-    dated = F.substring(text, 1, 60).contains(",") & matches(start, r"\b(19|20)\d{2}\b")
-    named = matches(F.substring(text, 1, 80), rf"{upper}{lower}+\s+{upper}\.")
-    return words | dated | named | matches(start, r"\b(19|20)\d{2}[;.]")
+    words = F.lit(False)
+    for word in packs.REFERENCE_WORDS:
+        words = words | low.contains(word)
+    dated = F.substring(text, 1, 60).contains(",") & matches(start, packs.REFERENCE_YEAR)
+    named = matches(F.substring(text, 1, 80), packs.REFERENCE_NAME)
+    return words | dated | named | matches(start, packs.REFERENCE_ISSUE)
 
 
 def heading_candidate(line: Column) -> Column:

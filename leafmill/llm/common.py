@@ -19,10 +19,6 @@ ARROW_BYTES = 8 << 20
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Nothing any more; goes with its last callers."""
-
-
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, without copies.
 

@@ -8,7 +8,8 @@ all their pairs; keys with very many fingerprints are dealt out in blocks.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; a null doc_id keeps its row; repeated rows get equal results; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read; of a very long text one
+task holds the words, and ``HASH_BLOCK`` hashes at a time.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, small_batches, text_bytes, worker_keeps, written
+from .common import drop, text_bytes, worker_keeps, written
 from .graph import components
-from .near_copies import node_of, one_row_each
 
 SHINGLE = 3
 SEED = 42
@@ -52,12 +52,25 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, n, HASH_BLOCK):
         size = min(HASH_BLOCK, n - at)
-        hashes = np.fromiter(map(_hash, islice(shingles, size)), np.dtype("<u8"), size)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(size, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint32)
+        ones += _ones(np.fromiter(map(_hash, islice(shingles, size)), np.dtype("<u8"), size))
+    return _fingerprint_of(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+
+
+def _fingerprint_of(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes."""
+    ones = sum((_ones(hashes[at : at + HASH_BLOCK]) for at in range(0, len(hashes), HASH_BLOCK)), np.zeros(64, np.int64))
+    return _fingerprint_of(ones, len(hashes))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_keeps("simhash")
     for batch in batches:
@@ -68,7 +81,6 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)`` of every whole text; fp holds the 64 bits as a long."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
@@ -161,7 +173,6 @@ def _link_batches(batches: Iterator[pa.RecordBatch], block: int, most: int, whol
 def links(prints: DataFrame, most: int = MAX_BITS, block: int = KEY_BLOCK) -> tuple[DataFrame, list[str]]:
     """Edges between distinct fingerprints that keep every link's connection."""
     spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     keyed = prints.select(F.explode(variant_keys()).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     first, path = written(keyed.mapInArrow(partial(_link_batches, block=block, most=most, whole=False), "a long, b long, key long"), "links")
     found = first.where("key is null").select("a", "b")
@@ -185,16 +196,8 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
     edges, edge_paths = links(texts.select("fp"), most)
     tied, tied_paths = components(edges, "simhash")
     drop(spark, *edge_paths)
-    small_batches(spark)
     rooted = texts.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named, _ = written(rooted.join(least, "root").select("fp", "component_id"), "named")
     drop(spark, texts_path, *tied_paths)
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of least doc_id, of rows without id only where no other is."""
-    texts = docs.select(node_of().alias("doc_id"), "text")
-    rooted = near_duplicates(texts).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
-    return one_row_each(docs, rooted)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import packs
 from ..functions import text as t
 from ..packs import LanguagePack, Settings
-from .runs import first_run
 
 
 def page_flags(pages: DataFrame, settings: Settings = Settings(), pack: LanguagePack = LanguagePack()) -> DataFrame:
@@ -43,21 +42,28 @@ def toc_pages(flagged: DataFrame, explicit: DataFrame | None = None, settings: S
     """
     whole, order = Window.partitionBy("source"), Window.partitionBy("source").orderBy("page")
     rows = flagged.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(whole))
+    if explicit is not None:
+        rows = rows.join(explicit.select("source", F.col("toc_pages").alias("_named_pages")), "source", "left")
+        rows = rows.withColumn("_named", F.coalesce(F.array_contains("_named_pages", F.col("page")), F.lit(False)))
+    else:
+        rows = rows.withColumn("_named", F.lit(False))
     look = F.least(F.lit(settings.lookahead_pages), F.greatest(F.lit(1), F.floor(F.col("_n") / 3)))
-    rows = rows.withColumn("_look", look)
-    go_on = F.col("is_continued") | F.col("is_titled")
-    front, back = rows.where("_i <= _look"), rows.where((F.col("_i") > F.col("_n") - F.col("_look")) & (F.col("_i") <= F.col("_n") - settings.skip_end_pages))
+    front, back = F.col("_i") <= look, (F.col("_i") > F.col("_n") - look) & (F.col("_i") <= F.col("_n") - settings.skip_end_pages)
+    broken = ~(F.col("is_continued") | F.col("is_titled"))
     primary, weak = F.col("is_titled") | F.col("is_untitled"), F.col("is_fallback")
-    found = []
-    for rank, (part, by, start, name) in enumerate([(front, F.asc("page"), primary, "front"), (back, F.desc("page"), primary, "back"), (front, F.asc("page"), weak, "front-fallback"), (back, F.desc("page"), weak, "back-fallback")], 1):
-        found.append(first_run(part, ["source"], [by], start, go_on).select("source", "page", F.lit(rank).alias("_rank"), F.lit(name).alias("toc_location")))
-    if explicit is not None:
-        named = rows.join(explicit, "source").where("array_contains(toc_pages, page)")
-        found.append(named.select("source", "page", F.lit(0).alias("_rank"), F.lit("explicit").alias("toc_location")))
-    both = found[0]
-    for part in found[1:]:
-        both = both.unionByName(part)
-    return both.withColumn("_best", F.min("_rank").over(whole)).where("_rank = _best").select("source", "page", "toc_location")
+    searches = [("front", front, primary, True), ("back", back, primary, False), ("front-fallback", front, weak, True), ("back-fallback", back, weak, False)]
+    # all four searches over the same windows: where a run begins, then where it breaks off
+    for k, (_, part, start, ahead) in enumerate(searches):
+        rows = rows.withColumn(f"_from{k}", (F.min if ahead else F.max)(F.when(part & start, F.col("_i"))).over(whole))
+    for k, (_, part, _, ahead) in enumerate(searches):
+        beyond = F.col("_i") > F.col(f"_from{k}") if ahead else F.col("_i") < F.col(f"_from{k}")
+        rows = rows.withColumn(f"_to{k}", (F.min if ahead else F.max)(F.when(part & beyond & broken, F.col("_i"))).over(whole))
+    found = F.when(F.max("_named").over(whole), F.when(F.col("_named"), F.lit("explicit")))
+    for k, (name, part, _, ahead) in enumerate(searches):
+        place, first, end = F.col("_i"), F.col(f"_from{k}"), F.col(f"_to{k}")
+        inside = (place >= first) & (end.isNull() | (place < end)) if ahead else (place <= first) & (end.isNull() | (place > end))
+        found = found.when(first.isNotNull(), F.when(part & inside, F.lit(name)))
+    return rows.withColumn("toc_location", found).where("toc_location is not null").select("source", "page", "toc_location")
 
 
 def toc_lines(pages: DataFrame, located: DataFrame, pack: LanguagePack = LanguagePack()) -> DataFrame:

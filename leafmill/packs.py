@@ -66,6 +66,26 @@ MARKERS = [
 ]
 MARKER_BULLET = r"^([^\w\s]+)\s+(.+)$"
 MARKER_PREFIX = rf"(?iu)^\s*(\d{{1,2}}\.\d{{1,2}}\.\d{{1,2}}\.?|\d{{1,2}}\.\d{{1,2}}\.?|[IVX]{{1,4}}\.?|\d{{1,2}}\.|[a-z{CYRILLIC_LOWER}]\.|(ПОГЛАВЉЕ|POGLAVLJE)\s+\d+\.)\s*"
+# What a heading loses before it is compared, in order, and the markers that it may lose.
+HEADING_CLEAN = [
+    (r"\A#+\s*", ""),
+    (r"\.{2,}.*$", ""),
+    (r"\s+", " "),
+    (r"\A([IVXivx]+|\d+|[a-zA-Z])\.\s+", "$1 "),
+    (r"[.,;:!?]+\z", ""),
+]
+HEADING_MARK = r"\A(i{1,3}|iv|v|vi{0,3}|ix|x|\d{1,3}|[a-z])\s+"
+#: The word for chapter, its Cyrillic letters that look like Latin ones folded.
+CHAPTER = "пoглabљe"
+# Marks at a line's start that begin no sentence; a contents line's dot leader or gap before its page.
+LINE_MARK = r"^\s*(\d+\.|[IVX]+\.|ПОГЛАВЉЕ\s+\d+\.)\s*"
+ENTRY_DOTS = r"\.{2,}\s*(\d{1,4})?\s*$"
+ENTRY_GAP = r"\s{2,}(\d{1,4})\s*$"
+# What a bibliography entry holds.
+REFERENCE_WORDS = ["et al", "doi:", "pmid", "http://", "https://"]
+REFERENCE_YEAR = r"\b(19|20)\d{2}\b"
+REFERENCE_ISSUE = r"\b(19|20)\d{2}[;.]"
+REFERENCE_NAME = rf"[A-Z{CYRILLIC_UPPER}][a-z{CYRILLIC_LOWER}]+\s+[A-Z{CYRILLIC_UPPER}]\."
 HEADING_LEVELS = [
     (1, rf"^({ROMAN})\.\s{{1,6}}([{CYRILLIC_UPPER}A-Z][^\n]+)$"),
     (2, rf"^(\d{{1,2}})\.\s{{1,4}}([{CYRILLIC_UPPER}A-Z][^\n]+)$"),

@@ -94,16 +94,3 @@ def test_links_in_blocks(spark, block):
         x, y = sorted((find(a), find(b)))
         tied[y] = x
     assert {p: find(p) for p in prints} == want
-
-
-def test_pipeline_keeps_one_of_each(docs):
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    want = {c for _, c in rows(simhash.near_duplicates(docs)).values()}
-    assert {r.doc_id for r in kept.select(F.col("doc_id")).collect()} == want
-
-
-def test_one_row_of_repeats_and_rows_without_id(spark):
-    rows = [(5, "a b c d"), (5, "a b c d"), (5, "A b c d"), (None, "a b c d"), (None, "x y z"), (None, "x y z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in simhash.one_of_each(df).collect()) == ["5", "None"]
