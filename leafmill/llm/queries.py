@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, media, pieces, secrets, simhash, substrings, token_files, urls, wordpieces
+from . import decontaminate, divergence, language, media, pieces, secrets, simhash, substrings, token_files, urls, wordpieces
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
@@ -69,8 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_sentence_pieces": op9_sentence_pieces,
         "op10_decontamination": op10_decontamination,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substrings.oracle(), "op8_url_filter": urls.oracle()}
+    return {"op3_substring_dedup": substrings.oracle(), "op8_url_filter": urls.oracle(), "op11_source_divergence": divergence.oracle()}
