@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, language, media, pieces, secrets, simhash, substrings, token_files, urls, wordpieces
+from . import decontaminate, divergence, language, licences, media, pieces, secrets, simhash, substrings, token_files, urls, wordpieces
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(table(spark, sf_dir, "documents"))
 
 
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentence_pieces": op9_sentence_pieces,
         "op10_decontamination": op10_decontamination,
         "op11_source_divergence": op11_source_divergence,
+        "op12_licence_scan": op12_licence_scan,
     }
 
 
