@@ -31,6 +31,7 @@ a language's list of sources, must fit into a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -102,15 +103,15 @@ def shares_of(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
 class _Block:
     """Sums over vectors for the pairs of one block's sources with all of their language."""
 
-    def __init__(self, lang: str, block: int, sources: pa.Array, whole: np.ndarray):
-        self.lang, self.low, self.sources, self.whole = lang, block * BLOCK, sources, whole
-        self.high = min(self.low + BLOCK, len(sources))
+    def __init__(self, lang: str, low: int, size: int, cells: int, sources: pa.Array, whole: np.ndarray):
+        self.lang, self.low, self.cells, self.sources, self.whole = lang, low, cells, sources, whole
+        self.high = min(low + size, len(sources))
         self.base = shares_of(np.zeros(len(whole), np.int64), whole)
         self.sums = np.zeros((self.high - self.low, len(sources)), np.int64)
 
     def add(self, members: pa.Array, counts: pa.Array, times: np.ndarray) -> None:
         """Vectors as lists of sources and counts; ``times`` is how many terms have them."""
-        step = max(1, CELLS // len(self.sources))
+        step = max(1, self.cells // len(self.sources))
         for at in range(0, len(members), step):
             own = members.slice(at, step)
             place = pc.index_in(own.flatten(), value_set=self.sources).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -148,7 +149,7 @@ def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 _PAIR = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], size: int, cells: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of block and salt, the first of each being the language's sources and wholes."""
     worker_keeps("divergence")
 
@@ -163,7 +164,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if held:
                         yield from held.rows()
                     names, whole = batch.column("sources")[at].values, batch.column("counts")[at].values
-                    held = _Block(batch.column("lang")[at].as_py(), batch.column("block")[at].as_py(), names, whole.to_numpy(zero_copy_only=False).astype(np.int64))
+                    held = _Block(batch.column("lang")[at].as_py(), batch.column("block")[at].as_py() * size, size, cells, names, whole.to_numpy(zero_copy_only=False).astype(np.int64))
                     at += 1
                 if held and end > at:
                     part = batch.slice(at, end - at)
@@ -190,7 +191,7 @@ def pair_sums(vectors: DataFrame, facts: DataFrame) -> DataFrame:
     rows = numbered.join(met, "vector").select("lang", "block", F.pmod(F.xxhash64("vector"), F.lit(salts)).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("members.source").alias("sources"), F.col("members.n").alias("counts"), "times")
     key = ["lang", "block", "salt"]
     dealt = heads.unionByName(rows).repartition(*key).sortWithinPartitions(*key, F.desc("first"))
-    found = dealt.select("lang", "block", "first", "sources", "counts", "times").mapInArrow(_summed, "lang string, a string, b string, value bigint")
+    found = dealt.select("lang", "block", "first", "sources", "counts", "times").mapInArrow(partial(_summed, size=BLOCK, cells=CELLS), "lang string, a string, b string, value bigint")
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
