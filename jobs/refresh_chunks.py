@@ -35,13 +35,13 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as t
 from leafmill.operators import chunks, pages
 from leafmill.packs import Settings
+from leafmill.shared import table_if_there
 
 from .common import run_from_command_line
 
@@ -71,16 +71,6 @@ def table(spark: SparkSession, output: str, name: str, schema: str) -> DataFrame
     return spark.read.schema(schema).parquet(f"{output}/{name}").join(marks.select("batch"), "batch", "left_semi")
 
 
-def marked(spark: SparkSession, output: str) -> DataFrame | None:
-    """The marks so far, or None before the first batch."""
-    try:
-        return table(spark, output, "marks", MARK)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def last_taken(documents: DataFrame) -> DataFrame:
     """``(doc_id, batch, digest)`` of each document's last batch."""
     last = documents.groupBy("doc_id").agg(F.max(F.struct("batch", "digest")).alias("_last"))
@@ -118,7 +108,7 @@ def chunked(documents: DataFrame, config: Config) -> DataFrame:
 def take_batch(batch: DataFrame, number: int, output: str, config: Config) -> dict:
     """One batch of rows into its own folders; done again, it replaces itself."""
     spark = batch.sparkSession
-    marks = marked(spark, output)
+    marks = table_if_there(spark, f"{output}/marks", MARK)
     if marks is not None and marks.where(F.col("batch") > number).take(1):
         raise ValueError(f"{output} has batches after {number}: it belongs to another checkpoint")
     before = table(spark, output, "documents", DOCUMENT).where(F.col("batch") < number) if marks is not None else None

@@ -98,7 +98,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         client = models.ChatClient(args.url, args.model, pack.entity_types)
         if not client.reachable():
             sys.exit(f"no answer from {args.url}")
-        writers.append_resumed(read("chunks"), lambda rows: models.extracted(rows, lambda: client, pack), f"{args.work}/entities")
+        log, lost = f"{args.work}/extraction", F.col("status") == models.FAILED
+        told = writers.run_resumed(read("chunks"), lambda rows: models.extraction(rows, lambda: client, pack), log, again=lost)
+        _show(told.groupBy("status").count())
+        write(models.records(told), "entities")
+        if (left := writers.failed(spark, log)) is not None and left.take(1):
+            print("failed, asked again by the next run:")
+            _show(left.groupBy("failure").count())
     elif stage == "normalise":
         _show(entities.entity_stats(read("entities"), write(entities.normalised_entities(read("entities"), pack), "normalised")))
     elif stage == "questions":

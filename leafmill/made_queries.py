@@ -7,6 +7,7 @@ by construction, and the SQL states it without any of the operators' rules.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 
@@ -324,13 +325,22 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "embedding_id", F.lit(facts.dimension).alias("dimension"), F.lit(facts.n_rows).alias("n_rows"))
 
 
-@query("SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS run FROM documents")
+@query("""
+SELECT doc_id, length(text) AS n_chars, md5(text) AS digest, CAST(CASE WHEN length(text) % 16 < 5 THEN 1 ELSE 2 END AS INTEGER) AS run
+FROM documents""")
 def resumed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that broke off after a third goes on with the rest."""
-    path, docs = shared.new_path(spark, "resumed"), table(spark, sf_dir, "documents").select("doc_id")
-    writers.append_resumed(docs.where("doc_id % 3 = 0"), lambda rows: rows.withColumn("run", F.lit(1)), path, "doc_id")
-    writers.append_resumed(docs, lambda rows: rows.withColumn("run", F.lit(2)), path, "doc_id")
-    return spark.read.parquet(path)
+    """A run that breaks off in its sixth of sixteen buckets; the next one does the rest."""
+    path, docs = shared.new_path(spark, "resumed"), table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def process(rows: DataFrame, run: int) -> DataFrame:
+        if run == 1 and rows.where("length(text) % 16 = 5").take(1):
+            raise InterruptedError
+        return rows.select("doc_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), F.lit(run).alias("run"))
+
+    for run in (1, 2):
+        with contextlib.suppress(InterruptedError):
+            found = writers.run_resumed(docs, lambda rows, run=run: process(rows, run), path, "doc_id", bucket=F.length("text") % 16)
+    return found
 
 
 # --- models ---
@@ -369,11 +379,25 @@ def _reader():
 WITH x AS (SELECT doc_id, source, substr(text, 1, 3000) AS text FROM documents WHERE text IS NOT NULL), y AS (SELECT *, lower({STRIP.format("substr(text, 1, 6)")}) AS term FROM x WHERE length(text) % 7 <> 0)
 SELECT doc_id, source, term FROM y WHERE term <> ''""")
 def extracted_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pluggable extractor on the first 3,000 characters; answers repaired, other types and values left out."""
+    """A pluggable extractor on the first 3,000 characters; answers repaired, other types and values left out.
+
+    The first run breaks off in its fourth bucket; the second goes on from there,
+    and asks again about texts on which the extractor failed.
+    """
     docs = table(spark, sf_dir, "documents")
     none = F.array().cast("array<string>")
     held = docs.select(text_of("doc_id").alias("chunk_id"), "source", F.lit(1).alias("pdf_page"), none.alias("section_ids"), none.alias("section_path"), F.lit("paragraph").alias("chunk_type"), "text")
-    found = models.extracted(held, _reader, LanguagePack(entity_types=["drug", "dose"]))
+    path, pack, lost = shared.new_path(spark, "extraction"), LanguagePack(entity_types=["drug", "dose"]), F.col("status") == models.FAILED
+    buckets = iter(range(8))
+
+    def breaks(rows: DataFrame) -> DataFrame:
+        if next(buckets) == 3:
+            raise InterruptedError
+        return models.extraction(rows, _reader, pack)
+
+    with contextlib.suppress(InterruptedError):
+        writers.run_resumed(held, breaks, path, buckets=8, again=lost)
+    found = models.records(writers.run_resumed(held, lambda rows: models.extraction(rows, _reader, pack), path, buckets=8, again=lost))
     return found.select(F.col("chunk_id").cast("long").alias("doc_id"), "source", F.array_join(F.element_at("entities", "drug"), "|").alias("term"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +38,16 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def table_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A Parquet table, or None where nothing has been written yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no returned result reads any more."""
     jvm = spark._jvm

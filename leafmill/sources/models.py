@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..operators import entities
 from ..packs import LanguagePack, Settings
+from ..shared import written
+from .asking import Asking, with_answers
 
 #: texts -> one vector each; made once for each worker.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -127,21 +129,35 @@ class ChatClient:
         return found["choices"][0]["message"]["content"].strip()
 
 
-def extracted(chunks: DataFrame, make: Callable[[], Extractor], pack: LanguagePack = LanguagePack(), settings: Settings = Settings()) -> DataFrame:
-    """Chunks -> entity records with any entity; an extractor's failure counts as none."""
+#: What became of a chunk.
+KEPT, NONE, UNREADABLE, FAILED = "kept", "no entity", "unreadable", "failed"
+RECORD = ["chunk_id", "source", "pdf_page", "section_ids", "section_path", "chunk_type", "entities"]
 
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        client = make()
-        for texts in batches:
-            answers = []
-            for x in texts:
-                try:
-                    answers.append(client(x))
-                except Exception:  # noqa: BLE001  the service's own errors
-                    answers.append("{}")
-            yield pd.Series(answers)
-
-    udf = F.pandas_udf(ask, "string")
-    asked = chunks.withColumn("_answer", udf(F.substring("text", 1, settings.extractor_chars)))
-    found = asked.withColumn("entities", entities.valid_entities(entities.repaired_json(F.col("_answer")), pack.entity_types))
-    return found.where(entities.has_entity(F.col("entities"))).select("chunk_id", "source", "pdf_page", "section_ids", "section_path", "chunk_type", "entities")
+
+def extraction(chunks: DataFrame, make: Callable[[], Extractor], pack: LanguagePack = LanguagePack(), settings: Settings = Settings(), how: Asking = Asking()) -> DataFrame:
+    """Every chunk with ``entities``, ``status``, ``failure`` and ``attempts``; one call a chunk.
+
+    ``status`` is ``kept`` (any entity), ``no entity``, ``unreadable`` (an answer
+    without a JSON object) or ``failed`` (the service, with the reason in
+    ``failure``). Each action on the result asks anew, so write it first.
+    """
+    given = chunks.select(*RECORD[:-1], F.substring("text", 1, settings.extractor_chars).alias("_text"))
+    told = with_answers(given, make, "_text", how).withColumn("_parsed", entities.repaired_json(F.col("answer")))
+    told = told.withColumn("entities", entities.valid_entities(F.col("_parsed"), pack.entity_types))
+    status = F.when(F.col("failure").isNotNull(), F.lit(FAILED)).when(F.col("_parsed").isNull(), F.lit(UNREADABLE)).when(entities.has_entity(F.col("entities")), F.lit(KEPT)).otherwise(F.lit(NONE))
+    return told.select(*RECORD, status.alias("status"), "failure", "attempts")
+
+
+def records(told: DataFrame) -> DataFrame:
+    """The entity records of an extraction."""
+    return told.where(F.col("status") == KEPT).select(*RECORD)
+
+
+def extracted(chunks: DataFrame, make: Callable[[], Extractor], pack: LanguagePack = LanguagePack(), settings: Settings = Settings(), how: Asking = Asking()) -> DataFrame:
+    """Chunks -> entity records with any entity; an extractor's failure counts as none.
+
+    The answers are written to the shared folder, where they stay, so that a chunk
+    is asked about once however often the records are read.
+    """
+    told, _ = written(extraction(chunks, make, pack, settings, how), "extraction")
+    return records(told)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import drop, table_if_there
+
 
 def write_by_source(df: DataFrame, path: str) -> None:
     """One folder per source, overwritten."""
@@ -42,13 +46,81 @@ def write_index(rows: DataFrame, path: str, order: list[str], model: str, prefix
 
 
 def pending(rows: DataFrame, done: DataFrame | None, key: str = "chunk_id") -> DataFrame:
-    """Rows not processed yet, by key: a run that broke off loses its last batch only."""
+    """Rows not processed yet, by key."""
     return rows if done is None else rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def append_resumed(rows: DataFrame, process, path: str, key: str = "chunk_id") -> None:
-    """Process what ``path`` lacks and append it."""
+def append_resumed(rows: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, key: str = "chunk_id") -> None:
+    """Process what ``path`` lacks and append it, as one job with one commit.
+
+    For work that is quickly done again; ``run_resumed`` keeps what a broken run has done.
+    """
+    process(pending(rows, table_if_there(rows.sparkSession, path), key)).write.mode("append").parquet(path)
+
+
+WAVE = "wave int, bucket int, n_keys bigint, n_rows bigint"
+
+
+def finished(spark: SparkSession, path: str, table: str = "rows", wave: bool = False) -> DataFrame | None:
+    """What the finished buckets of ``run_resumed`` hold, or None before the first; ``wave`` keeps the run's number."""
+    marks, found = table_if_there(spark, f"{path}/marks", WAVE), table_if_there(spark, f"{path}/{table}")
+    if marks is None or found is None:
+        return None
+    return found.join(marks.select("wave", "bucket"), ["wave", "bucket"], "left_semi").drop("bucket", *([] if wave else ["wave"]))
+
+
+def run_resumed(rows: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, key: str = "chunk_id", buckets: int = 32, again: Column | None = None, bucket: Column | None = None) -> DataFrame:
+    """Process the rows that earlier runs have not, bucket by bucket; gives all that is finished.
+
+    A run first stages the rows whose keys no finished bucket has, dealt to
+    ``buckets`` by a hash of the key (or by ``bucket``), and then processes one
+    bucket after the other. What a bucket gives is written to a folder of its own,
+    its keys beside it, and last its mark: a run that breaks off loses the bucket
+    it was in, and a folder without a mark is not read. The next run starts from
+    there; rows that have come meanwhile are in it. Rows of the result for which
+    ``again`` holds go to ``path/failed`` instead, and their keys are processed
+    again by the next run.
+
+    Several rows of one key are processed together. A null key is processed by
+    every run, as nothing tells whether it has been. One run at a time may write.
+    """
     spark = rows.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    process(pending(rows, spark.read.parquet(path) if there else None, key)).write.mode("append").parquet(path)
+    marks = table_if_there(spark, f"{path}/marks", WAVE)
+    wave = 1 + (marks.agg(F.coalesce(F.max("wave"), F.lit(0))).first()[0] if marks is not None else 0)
+    number = F.coalesce(bucket if bucket is not None else F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(0)).cast("int")
+    waiting = pending(rows, finished(spark, path, "keys"), key).withColumn("_bucket", number)
+    # large buckets in several files, small ones in one
+    waiting.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/staged")
+    staged = spark.read.schema(waiting.schema).parquet(f"{path}/staged")
+    for b in sorted(r[0] for r in staged.select("_bucket").distinct().collect()):
+        _finish_bucket(staged.where(F.col("_bucket") == b).drop("_bucket"), process, path, key, f"wave={wave}/bucket={b}", again)
+    found = finished(spark, path)
+    return found if found is not None else process(staged.drop("_bucket").limit(0))
+
+
+def _finish_bucket(rows: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, key: str, place: str, again: Column | None) -> None:
+    spark = rows.sparkSession
+    made = f"{path}/rows/{place}"
+    if again is not None:
+        made = f"{path}/made/{place}"
+    process(rows).write.mode("overwrite").parquet(made)
+    out, keys = spark.read.parquet(made), rows.select(key).where(F.col(key).isNotNull()).distinct()
+    if again is not None:
+        lost = F.coalesce(again, F.lit(False))
+        out.where(~lost).write.mode("overwrite").parquet(f"{path}/rows/{place}")
+        out.where(lost).write.mode("overwrite").parquet(f"{path}/failed/{place}")
+        keys = keys.join(out.where(lost).select(key), key, "left_anti")
+    keys.write.mode("overwrite").parquet(f"{path}/keys/{place}")
+    if again is not None:
+        drop(spark, made)
+    n_keys, n_rows = (spark.read.parquet(f"{path}/{name}/{place}").count() for name in ("keys", "rows"))
+    spark.range(1).select(F.lit(n_keys).cast("bigint").alias("n_keys"), F.lit(n_rows).cast("bigint").alias("n_rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/{place}")
+
+
+def failed(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame | None:
+    """Rows that are to be processed again, as the last run left them: failed in a finished bucket, and not done since."""
+    lost, done = finished(spark, path, "failed", wave=True), finished(spark, path, "keys")
+    if lost is None:
+        return None
+    last = lost.groupBy(key).agg(F.max("wave").alias("wave"))
+    return pending(lost.join(last, [key, "wave"], "left_semi").drop("wave"), done, key)
