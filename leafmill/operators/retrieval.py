@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..packs import COMPREHENSIVE, LanguagePack, Settings
 from ..shared import written
-
-#: Queries that are compared in one pass over an index; more go in blocks.
-QUERY_BLOCK = 4096
+from . import cells
 
 
 def normalised(vector: Column) -> Column:
@@ -27,58 +21,17 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda held, x: held + x)
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str = "id", exclude_self: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, k: int, id_: str = "id", exclude_self: bool = False, in_cells: int | None = None) -> DataFrame:
     """``queries(qid, embedding)``, ``index(id, embedding)`` -> ``(qid, id, score, rank)``.
 
-    A block of queries (bounded) is shipped to the index's partitions; each scans
-    its rows by matrix products and hands back its own k best of every query, of
-    which a window keeps the k best: equal scores by the smaller id.
+    Exact: the index is put in cells (as many as its size asks for, or ``in_cells``)
+    and a query meets those that may hold one of its k best, see ``cells``. Equal
+    scores are ranked by the smaller id; rows without a vector are left out.
     """
-    spark = queries.sparkSession
-    parts = []
-    rows = queries.select(F.col("qid").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).orderBy("qid").toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in block]), np.array([r.embedding for r in block])))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, vectors = shared.value
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(ids):
-                    continue
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                scores = np.round(flat @ vectors.T, 12)
-                if exclude_self:
-                    scores[ids[:, None] == qids[None, :]] = -np.inf
-                # the k best of each query and all that equal the last of them
-                least = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(qids), -np.inf)
-                row, column = np.nonzero((scores >= least) & np.isfinite(scores))
-                held.append(_best([(qids[column], ids[row], scores[row, column])], k))
-                if len(held) > 16:
-                    held = [_best(held, k)]
-            if held:
-                q, at, best = _best(held, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(at), pa.array(best)], ["qid", "id", "score"])
-
-        vectors = index.select(F.col(id_).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        parts.append(vectors.mapInArrow(scan, "qid long, id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "qid long, id long, score double, rank int")
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _best(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    q, ids, scores = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((ids, -scores, q))
-    q, ids, scores = q[order], ids[order], scores[order]
-    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return q[place < k], ids[place < k], scores[place < k]
+    held = cells.dealt(index, in_cells, id_)
+    if held is None:
+        return queries.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
+    return cells.search(queries, held, k, exclude_self)
 
 
 def intent(query: Column, pack: LanguagePack, word_bounds: bool = False) -> Column:

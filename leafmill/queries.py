@@ -432,6 +432,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(asked, index, 25, exclude_self=True).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {SCORES} SELECT qid, id, rank, round(score, 6) AS score, 'true' AS bounded FROM r WHERE rank <= 25")
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from an index in many cells; no query meets more than the whole index."""
+    asked, index = vectors(spark, sf_dir)
+    held = retrieval.cells.dealt(index, 24)
+    found = retrieval.cells.search(asked, held, 25, exclude_self=True)
+    met = retrieval.cells.share_read(asked, held, 25, found, exclude_self=True)
+    return found.join(met.select("qid", F.col("share").between(0, 1).cast("string").alias("bounded")), "qid").select("qid", "id", "rank", F.round("score", 6).alias("score"), "bounded")
+
+
 @query(f"WITH {SCORES} SELECT qid, id, rank, label FROM r WHERE rank <= 15 AND score >= 0.3 AND label % 2 = 0")
 def topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, index = vectors(spark, sf_dir)

@@ -412,7 +412,7 @@ def test_top_k_in_query_blocks(spark, monkeypatch):
     index = spark.createDataFrame(rows, "id bigint, embedding array<double>").repartition(5)
     asked = index.where("id < 30").withColumnRenamed("id", "qid")
     whole = {(r.qid, r.rank): r.id for r in retrieval.top_k(asked, index, 7).collect()}
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(retrieval.cells, "PACK", 11)
     assert {(r.qid, r.rank): r.id for r in retrieval.top_k(asked, index, 7).collect()} == whole
     for q in range(30):
         scores = sorted(((-sum(a * b for a, b in zip(rows[q][1], v)), k) for k, v in rows))[:7]
