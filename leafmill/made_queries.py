@@ -12,7 +12,7 @@ import hashlib
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import packs, shared
@@ -128,6 +128,22 @@ def made_heading_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("source", F.col("headings_total").alias("total"), F.col("headings_found").alias("found"), F.array_join("headings_not_found", "|").alias("lost"), F.array_join(skipped, "|").alias("skipped"))
 
 
+@query(f"WITH {made_sql(50)} SELECT source, CAST(page // 2 AS INTEGER) AS seq, CASE WHEN page // 2 % 4 = 2 THEN a ELSE 'Naslov ' || a || ' ' || b END AS title, page AS pdf_page FROM m WHERE page % 2 = 1")
+def made_headings_unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings in other words' order, misspelt, as one word of a line, and as they are; the page before each is a contents page that has it."""
+    m = made(spark, sf_dir, 50)
+    way = F.floor(F.col("page") / 2) % 4
+    title = F.when(way == 2, F.col("a")).otherwise(cat("Naslov ", F.col("a"), " ", F.col("b")))
+    heading = F.when(way == 0, cat(F.col("b"), " naslov ", F.col("a"))).when(way == 1, cat("Nasllov ", F.col("a"), " ", F.col("b"))).when(way == 2, cat("vidi ", F.col("a"), " ovde")).otherwise(title)
+    told = m.withColumns({"title": title, "heading": heading})
+    ahead = F.lead("title").over(Window.partitionBy("source").orderBy("page"))
+    told = told.withColumn("text", lines(cat("red ", F.col("c")), F.when(F.col("page") % 2 == 1, F.col("heading")).otherwise(F.coalesce(ahead, F.lit("kraj")))))
+    none, seq = F.lit(None).cast("string"), F.floor(F.col("page") / 2).cast("int")
+    wanted = told.where("page % 2 = 1").select("source", seq.alias("seq"), none.alias("marker_text"), none.alias("id"), "title", F.lit(1).alias("level"))
+    found, _ = sections.heading_pages(wanted, told.select("source", "page", "text"), told.where("page % 2 = 0").select("source", "page"))
+    return found.select("source", "seq", "title", "pdf_page")
+
+
 # --- contents pages: near the front, near the back, named, none ---
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..packs import Settings
+from ..shared import written
 
 
 def section_ids(sections: DataFrame) -> DataFrame:
@@ -83,31 +87,104 @@ def sequence_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _place(keys: list[tuple[str, str | None]], targets: list[str], original: str, s: Settings) -> bool:
-    """Whether a page holds a heading: exact, as a prefix, by words, then by likeness."""
-    cells = [x for pair in keys for x in pair if x is not None]
+def page_lines(pages: DataFrame) -> DataFrame:
+    """``(source, page, line)``: a page's lines, and each with the next one, as heading keys."""
+    lines = F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "")
+    held = pages.withColumn("_lines", lines).where(F.size("_lines") > 0)
+    both = F.transform(F.sequence(F.lit(1), F.size("_lines") - 1), lambda k: F.concat(F.element_at("_lines", k), F.lit(" "), F.element_at("_lines", k + 1)))
+    keys = F.transform(F.concat("_lines", F.when(F.size("_lines") > 1, both).otherwise(F.array().cast("array<string>"))), t.heading_key)
+    # under names of their own, as both sides of later joins may come from one table
+    found = held.select(F.col("source").alias("source"), F.col("page").alias("page"), F.explode(F.array_distinct(keys)).alias("line"))
+    return found.where("line <> ''")
+
+
+def _words(x: Column) -> Column:
+    return F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
+
 
-    def begins(line: str, target: str) -> bool:
-        return len(target) >= 10 and line.startswith(target) and line[len(target) : len(target) + 1] in ("", " ")
+def _as_prefix(lines: DataFrame, targets: DataFrame) -> DataFrame:
+    """A line that begins with a target of ten characters or more, which ends there or at a blank.
 
-    def shares(line: str, target: str) -> bool:
-        if len(line) > s.overlap_line or line.endswith("."):
-            return False
-        wanted, held = target.split(), set(line.split())
-        if len(wanted) == 1:
-            return len(line) <= s.one_word_line and wanted[0] in held
-        return bool(wanted) and len(held.intersection(wanted)) >= s.overlap * len(set(wanted))
+    A line's beginnings up to its document's longest target are looked up by hash.
+    """
+    longest = targets.groupBy("source").agg(F.max(F.length("target")).alias("_longest"))
+    ends = F.filter(F.sequence(F.lit(10), F.greatest(F.lit(10), F.least(F.length("line"), "_longest"))), lambda p: (p == F.length("line")) | (F.substring("line", p + 1, F.lit(1)) == " "))
+    begun = lines.join(longest, "source").where(F.length("line") >= 10).select("source", "line", F.explode(F.transform(ends, lambda p: F.xxhash64(F.substring(F.col("line"), F.lit(1), p)))).alias("_hash"))
+    found = begun.join(targets.where(F.length("target") >= 10).withColumn("_hash", F.xxhash64("target")), ["source", "_hash"])
+    return found.where(F.col("line").startswith(F.col("target"))).select("source", "line", "seq")
 
-    least = s.fuzzy_short if len(original) < s.short_title else s.fuzzy_long
 
-    def alike(line: str, target: str) -> bool:
-        total = len(line) + len(target)
-        if not total or 2 * min(len(line), len(target)) < least * total:
-            return total == 0
-        return sequence_ratio(line, target) >= least
+def _by_words(lines: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
+    """A short line, no sentence, that has most of a target's words.
 
-    tests = (lambda line, target: line == target, begins, shares, alike)
-    return any(test(line, target) for test in tests for line in cells for target in targets)
+    A target's words are looked up from the rarest of its document on, and only as
+    many as must hold one of the shared ones; what meets is counted in whole.
+    """
+    short = lines.where((F.length("line") <= s.overlap_line) & ~F.col("line").endswith(".")).withColumn("_held", F.array_distinct(_words(F.col("line"))))
+    words = short.select("source", "line", "_held", F.explode("_held").alias("word"))
+    often = words.groupBy("source", "word").agg(F.count("*").alias("_often"))
+    wanted = targets.withColumn("_list", _words(F.col("target"))).withColumn("_wanted", F.array_distinct("_list")).where(F.size("_wanted") > 0)
+    asked = wanted.select("source", "seq", "target", "_list", "_wanted", F.explode("_wanted").alias("word")).join(often, ["source", "word"], "left")
+    w = Window.partitionBy("source", "seq", "target").orderBy(F.coalesce("_often", F.lit(0)), "word")
+    enough = F.size("_wanted") - F.ceil(F.size("_wanted") * s.overlap) + 1
+    asked = asked.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= enough).select("source", "seq", "_list", "_wanted", "word")
+    met = words.join(asked, ["source", "word"])
+    many = F.size(F.array_intersect("_held", "_wanted")) >= s.overlap * F.size("_wanted")
+    return met.where(F.when(F.size("_list") == 1, F.length("line") <= s.one_word_line).otherwise(many)).select("source", "line", "seq")
+
+
+def _by_likeness(lines: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
+    """A line like a target; only lines of a length that may be, and letters that may be, are compared."""
+    sized = targets.withColumn("_size", F.length("target")).where("_size > 0")
+    low, high = F.ceil(F.col("_size") * F.col("least") / (2 - F.col("least")) - 1e-9), F.floor(F.col("_size") * (2 - F.col("least")) / F.col("least") + 1e-9)
+    banded = sized.select("source", "seq", "target", "least", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), F.greatest(high, F.lit(1)).cast("int"))).alias("_length"))
+    pairs = lines.withColumn("_length", F.length("line")).join(banded, ["source", "_length"]).select("source", "line", "seq", "target", "least")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = SequenceMatcher(None)
+        for batch in batches:
+            kept, last = [], None
+            for line, target, least in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4))):
+                if target != last:  # the matcher prepares its second string
+                    matcher.set_seq2(target)
+                    last = target
+                matcher.set_seq1(line)
+                kept.append(matcher.quick_ratio() >= least and matcher.ratio() >= least)
+            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1, 2])
+
+    return pairs.mapInArrow(compare, pairs.select("source", "line", "seq").schema)
+
+
+def heading_hits(targets: DataFrame, lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``targets(source, seq, target, least)``, ``lines(source, page, line)`` -> ``(source, seq, page)``.
+
+    Which pages hold which headings: as they are, as a line's beginning, by words
+    or by likeness. A document's equal lines are looked at once.
+    """
+    own = lines.select("source", "line").distinct()
+    exact = own.join(targets.withColumnRenamed("target", "line"), ["source", "line"]).select("source", "line", "seq")
+    met = exact.unionByName(_as_prefix(own, targets)).unionByName(_by_words(own, targets, settings)).unionByName(_by_likeness(own, targets, settings)).distinct()
+    return lines.join(met, ["source", "line"]).select("source", "seq", "page").distinct()
+
+
+def _walked(hits: list[list[int]], n_pages: int, most: int) -> list[tuple[int | None, int | None]]:
+    """(page's place, pages tried if it was skipped) of each heading, by one cursor that never goes back."""
+    out: list[tuple[int | None, int | None]] = []
+    at = 0
+    for own in hits:
+        k = bisect_left(own, at)
+        if at >= n_pages:
+            out.append((None, None))
+        elif k < len(own) and own[k] < at + most:
+            at = own[k]
+            out.append((at, None))
+        elif at + most <= n_pages:
+            at += most - 1  # the page of the last miss is the next heading's first
+            out.append((None, most))
+        else:
+            at = n_pages
+            out.append((None, None))
+    return out
 
 
 def heading_pages(sections: DataFrame, pages: DataFrame, located: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -115,44 +192,36 @@ def heading_pages(sections: DataFrame, pages: DataFrame, located: DataFrame, set
 
     Targets and pages are walked with one cursor that never goes back: a hit
     gives the page and tries the next target on the same page, a miss counts a
-    page, and after ten misses a target is skipped. That is sequential within a
-    document, so documents are grouped; keys are computed before, in Spark.
+    page, and after ten misses a target is skipped. Which page holds which target
+    is found before, by joins; the cursor gets the places of pages, no text.
     """
     target = t.heading_target(F.col("marker_text"), F.col("id"), F.col("title"))
-    wanted = sections.withColumn("_target", target).withColumn("_variants", t.heading_variants(F.col("_target")))
+    wanted = sections.withColumn("_target", target)
+    least = F.when(F.length("_target") < settings.short_title, F.lit(settings.fuzzy_short)).otherwise(F.lit(settings.fuzzy_long))
+    targets, _ = written(wanted.where("_target <> ''").select("source", "seq", F.explode(t.heading_variants(F.col("_target"))).alias("target"), least.alias("least")), "targets")
     kept = pages.join(located.select("source", "page"), ["source", "page"], "left_anti")
-    lines = F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "")
-    kept = kept.withColumn("_lines", lines)
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("_lines")),
-        lambda k: F.struct(t.heading_key(F.element_at("_lines", k)).alias("a"), F.when(k < F.size("_lines"), t.heading_key(F.concat(F.element_at("_lines", k), F.lit(" "), F.try_element_at(F.col("_lines"), k + 1)))).alias("b")),
-    )
-    # under names of their own, as both sides may come from one table
-    keyed = kept.select(F.col("source").alias("source"), "page", F.when(F.size("_lines") > 0, pairs).alias("keys"))
-
-    def walk(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        queue = [r for r in own.sort_values("seq").to_dict("records") if r["_target"]]
-        state = {r["seq"]: (None, None) for r in own.to_dict("records")}
-        at = misses = 0
-        for page in held.sort_values("page").to_dict("records"):
-            keys = [(k["a"], k["b"]) for k in page["keys"]] if page["keys"] is not None else []
-            while at < len(queue):
-                if _place(keys, list(queue[at]["_variants"]), queue[at]["_target"], settings):
-                    state[queue[at]["seq"]] = (page["page"], None)
-                    at, misses = at + 1, 0
-                    continue
-                misses += 1
-                if misses < settings.pages_per_target:
-                    break
-                state[queue[at]["seq"]] = (None, misses)
-                at, misses = at + 1, 0
-        out = [(r["source"], r["seq"], *state[r["seq"]]) for r in own.to_dict("records")]
-        return pd.DataFrame(out, columns=["source", "seq", "pdf_page", "pages_tried"]).astype({"pdf_page": "Int32", "pages_tried": "Int32"})
-
-    left = wanted.select(F.col("source").alias("source"), "seq", "_target", "_variants").groupBy("source")
-    found = left.cogroup(keyed.groupBy("source")).applyInPandas(walk, "source string, seq int, pdf_page int, pages_tried int")
+    lines, _ = written(page_lines(kept), "page-lines")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("page")) - 1
+    places = kept.select(F.col("source").alias("source"), F.col("page").alias("page")).withColumn("_place", place)
+    hits = heading_hits(targets, lines, settings).join(places, ["source", "page"])
+    hits = hits.groupBy("source", "seq").agg(F.array_sort(F.collect_list("_place")).alias("_hits"))
+    counts = places.groupBy("source").agg(F.count("*").cast("int").alias("_pages"))
+    queue = wanted.select(F.col("source").alias("source"), "seq", (F.col("_target") != "").alias("_asked")).join(hits, ["source", "seq"], "left").join(counts, "source", "left")
+
+    def walk(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("seq", kind="stable")
+        asked = own[own["_asked"].fillna(False).astype(bool)]
+        n_pages = own["_pages"].iloc[0]
+        found = _walked([[] if x is None else list(x) for x in asked["_hits"]], 0 if pd.isna(n_pages) else int(n_pages), settings.pages_per_target)
+        out = pd.DataFrame({"source": asked["source"], "seq": asked["seq"], "_place": [a for a, _ in found], "pages_tried": [b for _, b in found]})
+        return out.astype({"_place": "Int32", "pages_tried": "Int32"})
+
+    found = queue.groupBy("source").applyInPandas(walk, "source string, seq int, _place int, pages_tried int")
+    found = found.join(places.withColumnRenamed("page", "pdf_page"), ["source", "_place"], "left").select("source", "seq", "pdf_page", "pages_tried")
+    # the walk is read by the sections and by the report
+    found, _ = written(found, "heading-pages")
     mapped = wanted.join(found, ["source", "seq"], "left")
     in_order = lambda x: F.array_sort(F.collect_list(F.when(x, F.struct("seq", "title", F.col("_target").alias("target_norm"), "pages_tried"))))
     report = mapped.groupBy("source").agg(F.count("*").alias("headings_total"), F.count("pdf_page").alias("headings_found"), in_order(F.col("pdf_page").isNull()).alias("_lost"), in_order(F.col("pages_tried").isNotNull()).alias("headings_skipped"))
     report = report.select("source", "headings_total", "headings_found", F.transform("_lost", lambda x: x["title"]).alias("headings_not_found"), "headings_skipped")
-    return mapped.drop("_target", "_variants", "pages_tried"), report
+    return mapped.drop("_target", "pages_tried"), report
