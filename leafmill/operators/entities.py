@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..packs import LanguagePack, Settings
-from .sections import sequence_ratio
 
 
 def repaired_json(answer: Column) -> Column:
@@ -37,31 +38,87 @@ def has_entity(entities: Column) -> Column:
     return F.exists(F.map_values(entities), lambda v: F.size(v) > 0)
 
 
-def fuzzy_terms(terms: DataFrame, pack: LanguagePack, settings: Settings = Settings()) -> DataFrame:
-    """``(term)`` distinct -> ``(term, corrected)``: the most similar known term.
+def _least_shared(size: int, settings: Settings) -> int:
+    """How many letter pairs a term of ``size`` letters must share with any known term that it is like.
+
+    A ratio above the threshold asks for M equal letters of both terms' total; all
+    others are put in or left out, so the equal ones stand in at most as many
+    stretches and one more, and each stretch of n letters has n - 1 pairs.
+    """
+    needs = []
+    for other in range(max(1, size - settings.term_gap), size + settings.term_gap + 1):
+        total = size + other
+        equal = max(1, math.ceil(settings.term_fuzzy * total / 2 - 1e-9))
+        if equal <= min(size, other):
+            needs.append(equal - (total - 2 * equal) - 1)
+    return min(needs, default=size)
+
+
+def _letter_pairs(terms: DataFrame, name: str) -> DataFrame:
+    """``(name, size, pair)``; the second of two equal pairs is numbered as another one."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(2)))
+    numbered = F.transform("_pairs", lambda p, i: F.concat(p, F.size(F.filter(F.slice("_pairs", F.lit(1), i + 1), lambda x: x == p)).cast("string")))
+    return terms.withColumn("_pairs", pairs).select(name, F.length(name).alias("size"), F.explode(numbered).alias("pair"))
+
+
+def _rare_pairs(pairs: DataFrame, name: str, often: DataFrame, most: int, settings: Settings) -> DataFrame:
+    """So many of a term's pairs, the rarest first, that like terms have one in common.
 
-    Known terms are a dictionary of bounded size; each is compared within a band
-    of lengths only. The most similar wins, of equals the first by name.
+    A term so short, or a threshold so low, that no pair need be shared also has
+    the empty pair.
     """
-    known = sorted(set(pack.known_terms))
+    ranked = pairs.join(often, "pair", "left").withColumn("_k", F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("_often", F.lit(0)), "pair")))
+    shared = F.array(*[F.lit(_least_shared(n, settings)) for n in range(1, most + 1)])
+    ranked = ranked.withColumn("_shared", F.element_at(shared, F.least("size", F.lit(most))))
+    none = ranked.where((F.col("_shared") <= 0) & (F.col("_k") == 1)).withColumn("pair", F.lit(""))
+    return ranked.where(F.col("_k") <= F.col("size") - F.greatest("_shared", F.lit(1))).unionByName(none).select(name, "size", "pair")
 
-    def best(term: str) -> str:
-        found = (settings.term_fuzzy, None)
-        for k in known:
-            if abs(len(k) - len(term)) <= settings.term_gap and 2 * min(len(k), len(term)) > found[0] * (len(k) + len(term)):
-                ratio = sequence_ratio(term, k)
-                if ratio > found[0]:
-                    found = (ratio, k)
-        return found[1] or term
 
-    exact = set(known)
+def like_terms(terms: DataFrame, known: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``(term)``, ``(known)``, both distinct -> ``(term, known, ratio)`` of the pairs above the threshold.
 
-    def corrected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Both sides are looked up by their rarest letter pairs, as an equality join;
+    what meets is held against the bound by letters and then compared.
+    """
+    most = known.agg(F.coalesce(F.max(F.length("known")), F.lit(0))).first()[0] + settings.term_gap
+    pairs = _letter_pairs(known, "known")
+    often = pairs.groupBy("pair").agg(F.count("*").alias("_often"))
+    near = terms.where(F.length("term").between(1, most))
+    left = _rare_pairs(_letter_pairs(near, "term"), "term", often, most, settings)
+    right = _rare_pairs(pairs, "known", often, most, settings).where("pair <> ''").withColumnRenamed("size", "_size")
+    both = left.join(right, "pair").select("term", "known", "size", "_size")
+    # where nothing need be shared, terms meet by their lengths
+    sizes = F.explode(F.sequence(F.greatest(F.col("size") - settings.term_gap, F.lit(1)), F.col("size") + settings.term_gap))
+    wild = left.where("pair = ''").select("term", "size", sizes.alias("_size")).join(known.withColumn("_size", F.length("known")), "_size").select("term", "known", "size", "_size")
+    total, least = F.col("size") + F.col("_size"), F.least("size", "_size")
+    met = both.unionByName(wild).where((F.abs(F.col("size") - F.col("_size")) <= settings.term_gap) & (2 * least > settings.term_fuzzy * total)).select("term", "known").distinct()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.map(lambda x: x if len(x) < settings.term_fuzzy_min or x in exact else best(x))
+            rows = []
+            for term, other in zip(*(c.to_pylist() for c in batch.columns)):
+                matcher = SequenceMatcher(None, term, other)
+                if matcher.quick_ratio() > settings.term_fuzzy and (ratio := matcher.ratio()) > settings.term_fuzzy:
+                    rows.append((term, other, ratio))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["term", "known", "ratio"])
+
+    return met.mapInArrow(compare, "term string, known string, ratio double")
 
-    udf = F.pandas_udf(corrected, "string")
-    return terms.select("term").distinct().withColumn("corrected", udf("term"))
+
+def fuzzy_terms(terms: DataFrame, pack: LanguagePack, settings: Settings = Settings()) -> DataFrame:
+    """``(term)`` distinct -> ``(term, corrected)``: the most similar known term.
+
+    Known terms, and terms under the least length, stay as they are. The most
+    similar wins, of equals the first by name.
+    """
+    spark, own = terms.sparkSession, terms.select("term").distinct()
+    if not pack.known_terms:
+        return own.withColumn("corrected", F.col("term"))
+    known = spark.createDataFrame([(x,) for x in sorted(set(pack.known_terms)) if x], "known string")
+    unknown = own.where(F.length("term") >= settings.term_fuzzy_min).join(known.withColumnRenamed("known", "term"), "term", "left_anti")
+    best = like_terms(unknown, known, settings).groupBy("term").agg(F.min(F.struct((-F.col("ratio")).alias("_worse"), "known"))["known"].alias("_best"))
+    return own.join(best, "term", "left").select("term", F.coalesce("_best", "term").alias("corrected"))
 
 
 def normalised_terms(rows: DataFrame, pack: LanguagePack, settings: Settings = Settings()) -> DataFrame:

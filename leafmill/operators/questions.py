@@ -42,20 +42,33 @@ def filled(template: Column, values: Column) -> Column:
     return t.strip(t.single_spaces(F.array_join(pieces, "")))
 
 
+def met_templates(chunks: DataFrame, forms: DataFrame, least: int) -> DataFrame:
+    """Chunks beside the templates whose rarest required type they have.
+
+    Only the types of which a chunk has a term of ``least`` characters count. A
+    template is looked up by the one of its types that fewest chunks have, so a
+    type that most chunks have brings them to no template that asks for more.
+    """
+    good = F.map_keys(F.map_filter("entities", lambda _, terms: F.exists(terms, lambda v: F.length(v) >= least)))
+    typed = chunks.withColumn("_types", good)
+    often = typed.select(F.explode("_types").alias("_type")).groupBy("_type").agg(F.count("*").alias("_often"))
+    asked = forms.select("_seq", "template_id", F.posexplode("requires").alias("_k", "_type")).join(often, "_type", "left")
+    rarest = asked.groupBy("_seq", "template_id").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_k", "_type"))["_type"].alias("_type"))
+    keyed = forms.join(rarest, ["_seq", "template_id"])
+    return typed.withColumn("_type", F.explode("_types")).join(keyed, "_type")
+
+
 def generated(records: DataFrame, templates: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Entity records x templates whose required types they have -> questions.
 
     Templates are a small table in a given order (``seq``); pairs are found by
-    one required type, so that only chunks with that type meet the template.
+    each one's rarest required type, and then held against all of them.
     """
     least = settings.term_min
     some = F.size(F.filter(F.map_values("entities"), lambda v: F.size(v) > 0)) >= settings.min_entity_types
-    chunks = records.where(some)
     forms = templates.withColumn("_names", F.array_distinct(placeholders(F.col("template")))).where("size(requires) > 0 and size(_names) > 0")
-    forms = forms.select(F.col("seq").alias("_seq"), F.col("id").alias("template_id"), "template", "intent", "requires", "_names", F.element_at("requires", 1).alias("_type"))
-    met = chunks.withColumn("_type", F.explode(F.map_keys("entities"))).join(forms, "_type")
-    good = lambda kind: F.exists(F.try_element_at("entities", kind), lambda v: F.length(v) >= least)
-    met = met.where(F.forall("requires", lambda r: F.coalesce(good(r), F.lit(False))))
+    forms = forms.select(F.col("seq").alias("_seq"), F.col("id").alias("template_id"), "template", "intent", "requires", "_names")
+    met = met_templates(records.where(some), forms, least).where(F.forall("requires", lambda r: F.array_contains("_types", r)))
     kept = lambda kind: F.slice(F.filter(F.coalesce(F.try_element_at("entities", kind), F.array().cast("array<string>")), lambda v: F.length(v) >= least), 1, settings.values_per_placeholder)
     met = met.withColumn("_values", F.transform("_names", kept)).where(F.forall("_values", lambda v: F.size(v) > 0))
     rows = met.select("*", F.posexplode(combinations(F.col("_names"), F.col("_values"), settings.combinations)).alias("_k", "_combo"))

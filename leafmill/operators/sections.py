@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,54 +16,69 @@ from ..packs import Settings
 from ..shared import written
 
 
+def _in_order(sections: DataFrame, group: list[str], level: Column, own: Column, told: Callable[[list, tuple, object, object], object], name: str, kind: str) -> DataFrame:
+    """Adds a column that ``told(stack, key, level, own)`` gives for each row of a group, in order of ``seq``.
+
+    A group's rows come one after the other, sorted, with a stack of those that are
+    still open; a row is pushed and popped once, and no group is held as a whole.
+    """
+    keyed = sections.withColumns({"_level": level, "_own": own})
+    place = [keyed.columns.index(c) for c in [*group, "_level", "_own"]]
+    schema = sections.withColumn(name, F.lit(None).cast(kind)).schema
+    as_arrow = {"bigint": pa.int64(), "array<string>": pa.list_(pa.string())}[kind]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, stack = None, []
+        for batch in batches:
+            out = []
+            for *key, x, y in zip(*(batch.column(k).to_pylist() for k in place)):
+                if key != held:
+                    held, stack = key, []
+                out.append(told(stack, key, x, y))
+            kept = [k for k, f in enumerate(batch.schema) if f.name not in ("_level", "_own")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(out, as_arrow)], [*[batch.schema.field(k).name for k in kept], name])
+
+    return keyed.repartition(*group).sortWithinPartitions(*group, "seq", "_level", "_own").mapInArrow(walk, schema)
+
+
 def section_ids(sections: DataFrame) -> DataFrame:
     """Adds ``section_ids`` (path from the root, own id last) and ``parent_section_id``.
 
-    A document's sections (some hundreds at most) are folded in order with a
-    stack: a section's ancestors are the stack's levels below its own. Without an
-    id it is called by its title's slug, else by its place.
+    A section's ancestors are the open sections of levels below its own. Without
+    an id it is called by its title's slug, else by its place.
     """
     own = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.nullif(t.slug(F.coalesce("title", F.lit(""))), F.lit("")))
-    item = F.struct("seq", F.coalesce("level", F.lit(1)).alias("level"), own.alias("own"))
-    rows = sections.groupBy("source").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    level = "array<struct<level:int,id:string>>"
-    start = F.struct(F.array().cast(level).alias("stack"), F.array().cast("array<struct<seq:int,path:array<string>>>").alias("out"))
-
-    def step(held: Column, x: Column) -> Column:
-        def placed(stack: Column) -> Column:
-            name = F.coalesce(x["own"], F.concat(F.lit("S"), F.size(held["out"]).cast("string")))
-            parent = F.when(F.size(stack) > 0, F.concat(F.element_at(stack, -1)["id"], F.lit("."))).otherwise(F.concat(F.col("source"), F.lit("::")))
-            grown = F.array_append(stack, F.struct(x["level"].alias("level"), F.concat(parent, name).alias("id")))
-            row = lambda s: F.struct(x["seq"].cast("int").alias("seq"), F.transform(s, lambda y: y["id"]).alias("path"))
-            return t.let(grown, lambda s: F.struct(s.alias("stack"), F.array_append(held["out"], row(s)).alias("out")))
 
-        return t.let(F.filter(held["stack"], lambda s: s["level"] < x["level"]), placed)
+    def told(stack: list, key: tuple, level: int, name: str | None) -> list[str]:
+        # the first element counts the rows so far
+        if not stack:
+            stack.append(-1)
+        stack[0] += 1
+        while len(stack) > 1 and stack[-1][0] >= level:
+            stack.pop()
+        name = f"S{stack[0]}" if name is None else name
+        stack.append((level, f"{stack[-1][1]}.{name}" if len(stack) > 1 else f"{key[0]}::{name}"))
+        return [x[1] for x in stack[1:]]
 
-    paths = rows.select("source", F.explode(F.aggregate("_items", start, step, lambda held: held["out"])).alias("_p")).select("source", F.col("_p.seq").alias("seq"), F.col("_p.path").alias("section_ids"))
-    parent = F.when(F.size("section_ids") >= 2, F.element_at("section_ids", -2))
-    return sections.join(paths, ["source", "seq"]).withColumn("parent_section_id", parent)
+    paths = _in_order(sections, ["source"], F.coalesce("level", F.lit(1)), own, told, "section_ids", "array<string>")
+    return paths.withColumn("parent_section_id", F.when(F.size("section_ids") >= 2, F.element_at("section_ids", -2)))
 
 
 def ancestors(sections: DataFrame, group: list[str]) -> DataFrame:
     """Adds ``parent_seq``: the nearest earlier row of a smaller level, of any number of levels.
 
-    A group's rows (a document's sections) are folded in order with a stack, as
-    in ``section_ids``.
+    A row without level has no parent, and none before it is anyone's afterwards.
     """
-    item = F.struct(F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"))
-    rows = sections.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    step_of = "struct<seq:bigint,level:int>"
-    start = F.struct(F.array().cast(f"array<{step_of}>").alias("stack"), F.array().cast("array<struct<seq:bigint,parent:bigint>>").alias("out"))
-
-    def step(held: Column, x: Column) -> Column:
-        def placed(stack: Column) -> Column:
-            row = F.struct(x["seq"].alias("seq"), F.try_element_at(stack, F.lit(-1))["seq"].alias("parent"))
-            return F.struct(F.array_append(stack, x).alias("stack"), F.array_append(held["out"], row).alias("out"))
 
-        return t.let(F.filter(held["stack"], lambda s: s["level"] < x["level"]), placed)
+    def told(stack: list, key: tuple, level: int | None, seq: int) -> int | None:
+        while stack and (level is None or stack[-1][0] >= level):
+            stack.pop()
+        parent = stack[-1][1] if stack else None
+        if level is not None:
+            stack.append((level, seq))
+        return parent
 
-    found = rows.select(*group, F.explode(F.aggregate("_items", start, step, lambda held: held["out"])).alias("_p"))
-    return sections.join(found.select(*group, F.col("_p.seq").alias("seq"), F.col("_p.parent").alias("parent_seq")), [*group, "seq"])
+    return _in_order(sections, group, F.col("level").cast("int"), F.col("seq").cast("long"), told, "parent_seq", "bigint")
 
 
 def siblings(sections: DataFrame) -> DataFrame:
@@ -82,11 +97,6 @@ def section_paths(sections: DataFrame) -> DataFrame:
     return sections.join(paths.select("source", "seq", F.transform("_p", lambda x: x["_title"]).alias("section_path")), ["source", "seq"])
 
 
-def sequence_ratio(a: str, b: str) -> float:
-    """Ratcliff-Obershelp similarity; not symmetric, as in the standard library."""
-    return SequenceMatcher(None, a, b).ratio()
-
-
 def page_lines(pages: DataFrame) -> DataFrame:
     """``(source, page, line)``: a page's lines, and each with the next one, as heading keys."""
     lines = F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,30 +78,29 @@ def toc_lines(pages: DataFrame, located: DataFrame, pack: LanguagePack = Languag
 def merged_lines(lines: DataFrame) -> DataFrame:
     """Continuation lines joined to the entry before them.
 
-    What a line joins depends on the text gathered so far, so each document's
-    lines are folded in order; all tests on a line are computed before, in Spark.
+    A line without marker joins if the line before neither ends a sentence nor is
+    missing, and either it begins in lower case, or that line ends with a comma or
+    the like, or its entry is a chapter in roman numerals, another one follows and
+    it is a short line in capitals. All but the chapter is told by two lines; and
+    whether the entry is such a chapter is what the last line before said that
+    settles it: a marker, or a line that could not join. So windows suffice.
     """
     w = Window.partitionBy("source").orderBy("seq")
-    told = lines.withColumns({"_family": t.marker_family(F.col("text")), "_style": t.style(F.col("text")), "_lower": F.col("text").rlike(r"\A\p{Ll}"), "_closed": t.ends_sentence(t.rstrip(F.col("text"))), "_open": t.rstrip(F.col("text")).rlike(r"[,;:]\z")})
-    told = told.withColumn("_next", F.lead("_family").over(w)).withColumn("_last", F.lead("seq").over(w).isNull())
-    return told.groupBy("source").applyInPandas(_fold_lines, "source string, seq int, text string, printed_page int, pdf_page int")
-
-
-def _fold_lines(rows: pd.DataFrame) -> pd.DataFrame:
-    out: list[dict] = []
-    for r in rows.sort_values("seq").to_dict("records"):
-        printed = None if pd.isna(r["printed_page"]) else int(r["printed_page"])
-        head = out[-1] if out else None
-        if head and r["_family"] is None and not head["closed"]:
-            joins = r["_lower"] or head["open"]
-            chapter = head["family"] == "rimski" and not r["_last"] and r["_next"] == "rimski" and r["_style"] == "upper" and len(r["text"]) < 60
-            if joins or chapter:
-                head["text"] += " " + r["text"]
-                head["printed_page"] = head["printed_page"] if printed is None else printed
-                head["closed"], head["open"] = r["_closed"], r["_open"]
-                continue
-        out.append({"source": r["source"], "seq": len(out) + 1, "text": r["text"], "printed_page": printed, "pdf_page": r["pdf_page"], "family": r["_family"], "closed": r["_closed"], "open": r["_open"]})
-    return pd.DataFrame(out, columns=["source", "seq", "text", "printed_page", "pdf_page"]).astype({"printed_page": "Int32"})
+    before, roman = w.rowsBetween(Window.unboundedPreceding, -1), F.lit("rimski")
+    text = F.col("text")
+    told = lines.withColumns({"_family": t.marker_family(text), "_style": t.style(text), "_lower": text.rlike(r"\A\p{Ll}"), "_closed": t.ends_sentence(t.rstrip(text)), "_open": t.rstrip(text).rlike(r"[,;:]\z")})
+    told = told.withColumns({"_next": F.lead("_family").over(w), "_free": ~F.coalesce(F.lag("_closed").over(w), F.lit(True)) & F.col("_family").isNull(), "_asked": F.coalesce(F.lag("_open").over(w), F.lit(False))})
+    joins = F.col("_free") & (F.col("_lower") | F.col("_asked"))
+    title = F.col("_free") & ~joins & F.coalesce((F.col("_next") == roman) & (F.col("_style") == "upper") & (F.length("text") < 60), F.lit(False))
+    # a line that joins, or that would join a chapter alone, settles nothing
+    settled = F.when(F.col("_family").isNotNull(), F.col("_family") == roman).when(~joins & ~title, F.lit(False))
+    told = told.withColumns({"_joins": joins, "_title": title, "_settled": settled})
+    told = told.withColumn("_chapter", F.coalesce(F.last("_settled", ignorenulls=True).over(before), F.lit(False)))
+    told = told.withColumn("_entry", F.sum(F.when(F.col("_joins") | (F.col("_title") & F.col("_chapter")), 0).otherwise(1)).over(w).cast("int"))
+    row = F.struct("seq", "text", "printed_page", "pdf_page")
+    found = told.groupBy("source", F.col("_entry").alias("seq")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    printed = F.filter(F.transform("_rows", lambda x: x["printed_page"]), lambda x: x.isNotNull())
+    return found.select("source", "seq", F.array_join(F.transform("_rows", lambda x: x["text"]), " ").alias("text"), F.try_element_at(printed, F.lit(-1)).alias("printed_page"), F.element_at("_rows", 1)["pdf_page"].alias("pdf_page"))
 
 
 def entries(merged: DataFrame) -> DataFrame:

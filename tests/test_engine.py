@@ -551,6 +551,7 @@ def test_queries_without_the_optional_parts(tmp_path):
     """A copy without the operators for training data and their pipeline still gives its queries."""
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "leafmill", tmp_path / "leafmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     for more in ("corpus_pipeline.py", None):
         if more and (root / more).exists():
