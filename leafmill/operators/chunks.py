@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import packs
 from ..functions import text as t
 from ..packs import LanguagePack, Settings
+from ..shared import drop, written
 from .pages import without_header
 from .runs import islands, next_value, segments
 from .sections import section_ids, section_paths, siblings
@@ -130,9 +131,15 @@ def related(chunks: DataFrame) -> DataFrame:
 
 
 def document_chunks(sections: DataFrame, pages: DataFrame, pack: LanguagePack = LanguagePack(), settings: Settings = Settings()) -> DataFrame:
-    """Located sections and pages -> all chunks, linked."""
-    placed = section_paths(siblings(section_ids(sections)))
-    return related(section_chunks(section_text(placed, pages), pack, settings))
+    """Located sections and pages -> all chunks, linked.
+
+    Sections are placed once, and their texts put together once; both tables are
+    written, as later steps read them several times.
+    """
+    told, told_path = written(siblings(section_ids(sections)), "sections")
+    texts, _ = written(section_text(section_paths(told), pages), "section-texts")
+    drop(sections.sparkSession, told_path)
+    return related(section_chunks(texts, pack, settings))
 
 
 def paragraph_chunks(texts: DataFrame, key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:

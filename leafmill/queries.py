@@ -163,14 +163,40 @@ def section_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "seq", "pdf_page", md5(F.col("text")).alias("digest"))
 
 
-@query()
+SLUG = r"trim(substr(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', '_', 'g'), 1, 30), '_')"
+PARTS = rf"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
+
+
+@query(rf"""
+WITH RECURSIVE {PAGES}, n AS (SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY page) AS seq, regexp_extract(text, '^(\S+ \S+)', 1) AS title FROM pages_of WHERE page % 5 = 1),
+o AS (SELECT *, CASE WHEN seq % 4 <> 0 THEN page END AS pdf_page, coalesce(CASE WHEN seq % 3 = 0 THEN CAST(seq AS VARCHAR) END, nullif({SLUG.format('title')}, ''), 'S' || (seq - 1)) AS own FROM n),
+h AS (SELECT *, CASE WHEN seq % 3 = 0 OR seq = 1 THEN 1 WHEN seq % 3 = 1 OR seq = 2 THEN 2 ELSE 3 END AS depth, lag(own) OVER w AS own1, lag(own, 2) OVER w AS own2, lag(title) OVER w AS title1, lag(title, 2) OVER w AS title2,
+  first_value(pdf_page IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM o WINDOW w AS (PARTITION BY source ORDER BY seq)),
+i AS (SELECT *, source || '::' || CASE depth WHEN 1 THEN own WHEN 2 THEN own1 || '.' || own ELSE own2 || '.' || own1 || '.' || own END AS id,
+  CASE depth WHEN 1 THEN '' WHEN 2 THEN source || '::' || own1 || ' > ' ELSE source || '::' || own2 || ' > ' || source || '::' || own2 || '.' || own1 || ' > ' END AS above,
+  CASE depth WHEN 1 THEN title WHEN 2 THEN title1 || ' > ' || title ELSE title2 || ' > ' || title1 || ' > ' || title END AS path FROM h),
+r AS (SELECT source, list(id ORDER BY seq) AS roots FROM i WHERE depth = 1 GROUP BY 1),
+x AS (SELECT i.source, i.seq, string_agg(p.text, chr(10) ORDER BY p.page) AS text FROM i JOIN pages_of p ON i.source = p.source AND p.page >= i.pdf_page AND (i.next IS NULL OR p.page < i.next) GROUP BY 1, 2),
+s AS (SELECT source, seq, {PARTS} AS parts FROM (SELECT source, seq, {STRIP.format('text')} AS text FROM x) WHERE text <> ''),
+f(source, seq, parts, i, done, now, size, n) AS (
+  SELECT source, seq, parts, 0, CAST([] AS VARCHAR[]), '', 0, 0 FROM s
+  UNION ALL
+  SELECT source, seq, parts, i + 1,
+    CASE WHEN closes THEN list_append(done, CASE WHEN size >= 200 THEN now ELSE now || ' ' || x END) ELSE done END,
+    CASE WHEN closes THEN CASE WHEN size >= 200 THEN x ELSE '' END WHEN n > 0 THEN now || ' ' || x ELSE x END,
+    CAST(CASE WHEN closes THEN CASE WHEN size >= 200 THEN len(x) ELSE 0 END ELSE size + len(x) + 1 END AS INTEGER),
+    CASE WHEN closes THEN CASE WHEN size >= 200 THEN 1 ELSE 0 END ELSE n + 1 END
+  FROM (SELECT *, n > 0 AND size + len(x) + 1 > 700 AS closes FROM (SELECT *, parts[i + 1] AS x FROM f WHERE i < len(parts)))),
+e AS (SELECT source, seq, CASE WHEN n > 0 THEN list_append(done, now) ELSE done END AS chunks FROM f WHERE i = len(parts)),
+k AS (SELECT *, unnest(generate_series(1, len(chunks))) AS k FROM e)
+SELECT source || '::' || id || '::p' || pdf_page || '::p::c' || (k - 1) AS chunk_id, source, pdf_page, above || id AS section_ids, path AS section_path, 'paragraph' AS chunk_type, k - 1 AS chunk_index, len(chunks) AS chunk_total,
+  CASE WHEN depth = 1 THEN array_to_string(list_filter(roots, lambda y: y <> id), ',') ELSE '' END AS sibling_sections, '' AS related_lists, md5(chunks[k]) AS digest
+FROM k JOIN i USING (source, seq) JOIN r USING (source)""")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole chunking of sections: hierarchy, text, kinds, links."""
     found = chunks.document_chunks(toy_sections(spark, sf_dir), as_pages(spark, sf_dir))
-    return found.select("chunk_id", "source", "pdf_page", "section_ids", "section_path", "chunk_type", "chunk_index", "chunk_total", "sibling_sections", "related_lists", "text")
-
-
-
+    joined = [F.array_join(c, by).alias(c) for c, by in (("section_ids", " > "), ("section_path", " > "), ("sibling_sections", ","), ("related_lists", ","))]
+    return found.select("chunk_id", "source", "pdf_page", "chunk_type", "chunk_index", "chunk_total", *joined, md5(F.col("text")).alias("digest"))
 
 
 # --- ordered events ---
