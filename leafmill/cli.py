@@ -76,7 +76,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     pack = LanguagePack.from_json(args.pack) if args.pack else guideline_pack()
     stage = args.stage
     if stage == "extract":
-        _show(pages.page_stats(write(readers.pdf_pages(spark, args.input), "pages")))
+        if missing := readers.missing_libraries():
+            sys.exit(f"not installed: {', '.join(missing)}")
+        rows = write(readers.pdf_rows(spark, args.input), "pdf_rows")
+        _show(readers.pdf_report(rows))
+        _show(pages.page_stats(write(pages.clean_pages(rows.where("failure is null").select("source", "page", "text")), "pages")))
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(args.input).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
         write(pages.explicit_toc_pages(pages.latest_files(files).drop("source"), pack), "explicit")
     elif stage == "toc":

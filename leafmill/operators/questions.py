@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..packs import Settings
+from .runs import numbered
 
 
 def placeholders(template: Column) -> Column:
@@ -112,12 +113,11 @@ def instance_stats(chunks: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFr
 
 def question_report(questions: DataFrame, n: int = 10) -> DataFrame:
     """``(dimension, value, n, rank)``: all sources by name, the ``n`` most frequent intents and templates."""
-    parts = []
-    for dimension, most in (("source", None), ("intent", n), ("template_id", n)):
-        counted = questions.groupBy(F.coalesce(dimension, F.lit("?")).alias("value")).agg(F.count("*").alias("n"))
-        order = ["value"] if most is None else [F.desc("n"), "value"]
-        # one row for each value: sources, intents and templates are short lists
-        ranked = counted.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-        ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
-        parts.append(ranked.select(F.lit(dimension).alias("dimension"), "value", "n", "rank"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counted = {c: questions.groupBy(F.coalesce(c, F.lit("?")).alias("value")).agg(F.count("*").alias("n")) for c in ("source", "intent", "template_id")}
+    parts = [numbered(counted["source"], ["value"], "rank")]
+    for c in ("intent", "template_id"):
+        # ranks of at most n rows
+        most = counted[c].orderBy(F.desc("n"), "value").limit(n)
+        parts.append(most.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value"))))
+    told = [part.select(F.lit(c).alias("dimension"), "value", "n", "rank") for c, part in zip(counted, parts)]
+    return told[0].unionByName(told[1]).unionByName(told[2])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def ordered(group: list[str], order: list[str]):
     return Window.partitionBy(*group).orderBy(*order)
@@ -78,3 +80,17 @@ def as_of(left: DataFrame, right: DataFrame, group: list[str], at: str, order: s
     w = Window.partitionBy(*group).orderBy(at, "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_there"), F.struct("_value")), ignorenulls=True).over(w)
     return both.withColumn(name, last["_value"]).where("_side = 1").select(*left.columns, name)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds each row's place (from 1) in the whole order, without a task that holds all rows.
+
+    Rows are dealt out by ranges and written; what stands in earlier ranges is
+    added to the place within the own one.
+    """
+    rows, _ = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_rows"))
+    # one row for each range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_within", within).join(before.select("_range", "_before"), "_range").withColumn(name, (F.col("_before") + F.col("_within")).cast("int")).drop("_range", "_within", "_before")

@@ -449,6 +449,27 @@ def test_pdf_source(spark, tmp_path):
         readers.pdf_pages(spark, str(tmp_path / "none"), parser)
 
 
+def test_one_damaged_pdf_of_ten(spark, tmp_path):
+    for k in range(10):
+        (tmp_path / f"f{k}.pdf").write_bytes(b"damaged" if k == 3 else b"half" if k == 4 else f"{'page text ' * 20}|short|".encode())
+
+    def parser(content):
+        if content == b"damaged":
+            raise ValueError("no header")
+        if content == b"half":
+            yield "whole page " * 20
+            raise OSError("broken stream")
+        yield from content.decode().split("|")
+
+    kept = readers.pdf_pages(spark, str(tmp_path), parser)
+    assert sorted(r.source for r in kept.collect()) == [f"f{k}" for k in range(10) if k != 3]
+    told = {r.source: r for r in readers.pdf_report(readers.pdf_rows(spark, str(tmp_path), parser)).collect()}
+    assert tuple(told["f0"])[1:] == (3, 1, 1, 1, None)
+    assert tuple(told["f3"])[1:] == (0, 0, 0, 0, "ValueError: no header")
+    assert tuple(told["f4"])[1:] == (1, 0, 0, 1, "OSError: broken stream")
+    assert readers.missing_libraries(["json", "no_such_library"]) == ["no_such_library"]
+
+
 def test_extraction_and_resume(spark, tmp_path):
     held = spark.createDataFrame([(f"c{k}", "s", 1, ["i"], ["p"], "paragraph", "asthma" if k % 2 else "none") for k in range(6)], "chunk_id string, source string, pdf_page int, section_ids array<string>, section_path array<string>, chunk_type string, text string")
 
