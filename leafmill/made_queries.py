@@ -166,6 +166,26 @@ def made_contents_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     return held.drop("book"), explicit
 
 
+@query(f"""
+WITH {made_sql(20)}
+SELECT source, page, kind = 0 AND page = 3 AS untitled, kind = 0 AND page IN (3, 4) AS continued, (kind = 1 AND page = 3) OR (kind = 2 AND page = 15) AS weak,
+  CASE WHEN kind = 0 AND page IN (3, 4) THEN 'front' WHEN kind = 1 AND page = 3 THEN 'front-fallback' WHEN kind = 2 AND page = 15 THEN 'back-fallback' END AS toc_location
+FROM (SELECT *, book % 4 AS kind FROM m)""")
+def made_contents_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents pages without a title and a page that goes on, pages that only the weaker test finds near the front and the back, and an imprint page."""
+    m = made(spark, sf_dir, 20)
+    word = lambda text, name: cat(text, F.col(name))
+    plain = [word("1. Deo ", "a"), word("1.1 Odeljak ", "b"), word("2. Deo ", "c"), word("2.1 Odeljak ", "d"), word("3. Kraj ", "a")]
+    dotted = lines(*(cat("Naslov ", F.col(c), f" ..... {k}") for k, c in enumerate("abc", 5)))
+    kind, page = F.col("book") % 4, F.col("page")
+    prose = cat("Ovo je jedna duga rečenica o ", F.expr("repeat(concat(a, ' '), 20)"), "i kraj.")
+    text = F.when((kind == 0) & (page == 3), lines(*plain)).when((kind == 0) & (page == 4), lines(word("4. Deo ", "a"), cat("Ovo je rečenica o ", F.col("b"), ".")))
+    text = text.when(((kind == 1) & (page == 3)) | ((kind == 2) & (page == 15)), dotted).when((kind == 3) & (page == 3), lines(*plain, word("ISBN ", "b"))).otherwise(prose)
+    flagged = toc.page_flags(m.select("source", "page", text.alias("text")))
+    found = flagged.join(toc.toc_pages(flagged), ["source", "page"], "left")
+    return found.select("source", "page", F.col("is_untitled").alias("untitled"), F.col("is_continued").alias("continued"), F.col("is_fallback").alias("weak"), "toc_location")
+
+
 LISTED = "l AS (SELECT *, CASE book % 4 WHEN 0 THEN page - 3 WHEN 1 THEN page - 40 ELSE 0 END AS nth FROM m WHERE (book % 4 = 0 AND page IN (3, 4)) OR (book % 4 = 1 AND page IN (40, 41)) OR (book % 4 = 2 AND page = 7))"
 
 

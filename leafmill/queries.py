@@ -199,6 +199,23 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "source", "pdf_page", "chunk_type", "chunk_index", "chunk_total", *joined, md5(F.col("text")).alias("digest"))
 
 
+@query()
+def heading_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles taken from whole pages, found again on them with the forward cursor; a test holds it against a walk over lines."""
+    held = as_pages(spark, sf_dir)
+    nowhere = spark.createDataFrame([], "source string, page int")
+    found, _ = sections.heading_pages(toy_sections(spark, sf_dir).drop("pdf_page"), held.select("source", "page", "text"), nowhere)
+    return found.select("source", "seq", "title", "pdf_page")
+
+
+@query()
+def toc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents pages of each source by the four searches on whole texts, parsed to entries; a test holds the merging against a fold."""
+    loose = Settings(toc_ratio_untitled=0.0, toc_ratio_titled=0.0, min_toc_lines=1, fallback_lines=1, fallback_dot_lines=0, fallback_sentences=5)
+    found, _ = toc.parse_toc(as_pages(spark, sf_dir), None, loose)
+    return found
+
+
 # --- ordered events ---
 
 
@@ -435,6 +452,12 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def toc_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select("doc_id", "source")
+
+
 # --- vectors ---
 
 SCORES = "s AS (SELECT q.vec_id AS qid, i.vec_id AS id, i.label AS label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 12) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0 AND q.vec_id <> i.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)"
