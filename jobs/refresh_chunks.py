@@ -10,10 +10,12 @@ chunks and writes, for each batch of the stream,
 
 * ``documents/batch=N``: the taken documents, cleaned, with the digest of the given text,
 * ``chunks/batch=N/lang=L``: their chunks,
+* ``vectors/batch=N``, if an encoder is named: the chunks' vectors,
 * ``marks/batch=N``: one row that says what was read and written.
 
-``current_chunks`` gives the index as it stands: each document's chunks of the
-last batch that took it. A batch writes its own folders only and reads only those
+``current_chunks`` and ``current_vectors`` give the index as it stands: each
+document's chunks of the last batch that took it. Encoding is what costs most, and
+only new and changed documents are encoded. A batch writes its own folders only and reads only those
 of earlier batches, so a batch that broke off is done again with the same result;
 its mark is written last, and what has no mark is not read.
 
@@ -33,6 +35,7 @@ shuffle.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +45,7 @@ from leafmill.functions import text as t
 from leafmill.operators import chunks, pages
 from leafmill.packs import Settings
 from leafmill.shared import table_if_there
+from leafmill.sources import models
 
 from .common import run_from_command_line
 
@@ -50,6 +54,7 @@ log = logging.getLogger("refresh_chunks")
 READ = "doc_id bigint, text string, lang string, source string"
 DOCUMENT = "doc_id bigint, digest string, lang string, source string, n_chars int, text string, batch bigint"
 CHUNK = "doc_id bigint, source string, chunk_id string, chunk_index int, chunk_total int, n_chars int, n_sentences int, text string, batch bigint, lang string"
+VECTOR = "chunk_id string, doc_id bigint, embedding array<float>, batch bigint"
 MARK = "n_read bigint, n_without_id bigint, n_taken bigint, n_chunks bigint, batch bigint"
 
 
@@ -61,6 +66,12 @@ class Config:
     #: New files that one batch takes at most; 0: all.
     files_per_batch: int = 0
     rows_per_file: int = 1_000_000
+    #: None, ``hashing`` for hashed words, or the name of a sentence-transformers model.
+    encoder: str | None = None
+
+    def make_encoder(self) -> Callable[[], models.Encoder]:
+        name = self.encoder
+        return models.HashingEncoder if name == "hashing" else lambda: models.SentenceEncoder(name)
 
 
 def table(spark: SparkSession, output: str, name: str, schema: str) -> DataFrame:
@@ -77,10 +88,19 @@ def last_taken(documents: DataFrame) -> DataFrame:
     return last.select("doc_id", "_last.*")
 
 
+def _current(spark: SparkSession, output: str, name: str, schema: str) -> DataFrame:
+    last = last_taken(table(spark, output, "documents", DOCUMENT)).select("doc_id", "batch")
+    return table(spark, output, name, schema).join(last, ["doc_id", "batch"], "left_semi")
+
+
 def current_chunks(spark: SparkSession, output: str) -> DataFrame:
     """The index as it stands after the runs so far."""
-    last = last_taken(table(spark, output, "documents", DOCUMENT)).select("doc_id", "batch")
-    return table(spark, output, "chunks", CHUNK).join(last, ["doc_id", "batch"], "left_semi")
+    return _current(spark, output, "chunks", CHUNK)
+
+
+def current_vectors(spark: SparkSession, output: str) -> DataFrame:
+    """The vectors of ``current_chunks``, of all runs that named an encoder."""
+    return _current(spark, output, "vectors", VECTOR)
 
 
 def taken(rows: DataFrame, before: DataFrame | None, config: Config) -> DataFrame:
@@ -112,13 +132,17 @@ def take_batch(batch: DataFrame, number: int, output: str, config: Config) -> di
     if marks is not None and marks.where(F.col("batch") > number).take(1):
         raise ValueError(f"{output} has batches after {number}: it belongs to another checkpoint")
     before = table(spark, output, "documents", DOCUMENT).where(F.col("batch") < number) if marks is not None else None
-    own = {name: f"{output}/{name}/batch={number}" for name in ("documents", "chunks", "marks")}
+    own = {name: f"{output}/{name}/batch={number}" for name in ("documents", "chunks", "vectors", "marks")}
     taken(batch, before, config).write.mode("overwrite").option("maxRecordsPerFile", config.rows_per_file).parquet(own["documents"])
     kept = spark.read.schema(DOCUMENT.removesuffix(", batch bigint")).parquet(own["documents"])
     chunked(kept, config).write.mode("overwrite").option("maxRecordsPerFile", config.rows_per_file).partitionBy("lang").parquet(own["chunks"])
+    stored = spark.read.schema(CHUNK.removesuffix(", batch bigint, lang string")).parquet(own["chunks"])
+    if config.encoder:
+        vectors = models.embedded(stored.select("chunk_id", "doc_id", "text"), config.make_encoder())
+        vectors.select("chunk_id", "doc_id", "embedding").write.mode("overwrite").option("maxRecordsPerFile", config.rows_per_file).parquet(own["vectors"])
     # counts of one column, or of files' footers
     told = batch.agg(F.count("*").alias("n_read"), F.count_if(F.col("doc_id").isNull()).alias("n_without_id")).first().asDict()
-    told |= {"n_taken": kept.count(), "n_chunks": spark.read.schema(CHUNK.removesuffix(", batch bigint, lang string")).parquet(own["chunks"]).count()}
+    told |= {"n_taken": kept.count(), "n_chunks": stored.count()}
     mark = spark.range(1).select(*[F.lit(told[c]).cast("bigint").alias(c) for c in ("n_read", "n_without_id", "n_taken", "n_chunks")])
     mark.coalesce(1).write.mode("overwrite").parquet(own["marks"])
     log.info("batch %d: read %d rows (%d without doc_id), took %d documents, wrote %d chunks to %s", number, *told.values(), own["chunks"])

@@ -103,6 +103,25 @@ def test_a_broken_batch_is_done_again(spark, place, monkeypatch):
     assert {k for k, _ in index(spark, out)} == {1, 2, 6, 9} and "Sentence 11 " in index(spark, out)[1, 0][0]
 
 
+def test_vectors_of_what_is_new_alone_and_a_search_in_them(spark, place):
+    from leafmill.operators import retrieval
+    from leafmill.sources import models
+
+    documents, out, mark = place
+    config = refresh_chunks.Config(encoder="hashing")
+    put(spark, first_rows(), documents, "one")
+    refresh_chunks.refresh(spark, documents, out, mark, config)
+    put(spark, [(1, "zebra quagga okapi tapir. " * 10, "en", "a", "x"), (6, prose(6), "en", "a", "x")], documents, "two")
+    refresh_chunks.refresh(spark, documents, out, mark, config)
+    vectors = refresh_chunks.current_vectors(spark, out)
+    chunks = {r.chunk_id: (r.doc_id, r.batch) for r in refresh_chunks.current_chunks(spark, out).collect()}
+    assert {r.chunk_id: (r.doc_id, r.batch) for r in vectors.collect()} == chunks
+    assert spark.read.parquet(f"{out}/vectors/batch=1").select("doc_id").distinct().collect() == [(1,)]
+    asked = models.embedded(spark.createDataFrame([(1, "okapi tapir zebra quagga.")], "qid long, query string"), models.HashingEncoder, "query")
+    best = retrieval.top_k(asked, vectors.where("doc_id is not null").withColumn("id", vectors.doc_id), 1).first()
+    assert best.id == 1
+
+
 def test_an_output_of_another_checkpoint_is_refused(spark, place, tmp_path):
     documents, out, mark = place
     config = refresh_chunks.Config(files_per_batch=1)
