@@ -10,7 +10,8 @@ crc32(doc_id as text) mod 4 is not 2, chosen by a hash of doc_id, and of each a
 few windows spread evenly over the text. Everything else covers all documents.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
-null doc_id is not held out and not learned from; null languages are not learned
+null doc_id is not held out and not learned from; of languages of equal
+probability the first by name is told; null languages are not learned
 from; with no labelled document every text is ``und``; repeated rows get equal
 results; an empty table gives an empty result; other columns are not read; of a
 very long text 2,048 windows are looked at together, and all of them count.

@@ -9,7 +9,8 @@ matched with one space before it, as vocabularies mark the start of a word. The
 vocabulary must hold every single byte, so every word has pieces.
 
 Defined cases: a null or empty text, or one of white space only, has no words
-and no pieces; a word of any length is matched as a whole; rows are independent,
+and no pieces; a word of any length is matched as a whole, which takes no more
+memory than the word itself, as pieces are counted and not kept; rows are independent,
 so ties, repeats, null ids and other columns do not matter; an empty table gives
 an empty result.
 """
