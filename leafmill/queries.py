@@ -1,7 +1,7 @@
 """Driver queries of the engine's own operators, with their SQL.
 
 The driver's tables stand in for pages, lines, chunks, questions and vectors: a
-document is a page of its ``source``, lines are a document's lines, events per
+document is a page of a book of fifty, lines are a document's lines, events per
 user are lines in order.
 """
 
@@ -37,10 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the pages of their sources."""
+    """Documents as pages, fifty to a book, so that there are the more books the larger the table is."""
     docs = table(spark, sf_dir, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select("source", F.row_number().over(w).alias("page"), "text", F.length("text").alias("n_chars"), "doc_id")
+    book, page = F.concat(F.lit("b"), F.floor(F.col("doc_id") / 50).cast("string")), (F.col("doc_id") % 50 + 1).cast("int")
+    return docs.select(book.alias("source"), page.alias("page"), "text", F.length("text").alias("n_chars"), "doc_id")
 
 
 def as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def md5(x: Column) -> Column:
 
 
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
-PAGES = "pages_of AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text, length(text) AS n_chars, doc_id FROM documents)"
+PAGES = "pages_of AS (SELECT 'b' || (doc_id // 50) AS source, CAST(doc_id % 50 + 1 AS INTEGER) AS page, text, length(text) AS n_chars, doc_id FROM documents)"
 STRIP = r"regexp_replace({}, '^[\s\v]+|[\s\v]+$', '', 'g')"
 WORD = r"\p{L}\p{N}\p{M}_"
 MARKED = (
