@@ -102,10 +102,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "")
     held = pages.withColumn("_lines", lines).where(F.size("_lines") > 0)
     both = F.transform(F.sequence(F.lit(1), F.size("_lines") - 1), lambda k: F.concat(F.element_at("_lines", k), F.lit(" "), F.element_at("_lines", k + 1)))
-    keys = F.transform(F.concat("_lines", F.when(F.size("_lines") > 1, both).otherwise(F.array().cast("array<string>"))), t.heading_key)
+    every = F.array_distinct(F.concat("_lines", F.when(F.size("_lines") > 1, both).otherwise(F.array().cast("array<string>"))))
     # under names of their own, as both sides of later joins may come from one table
-    found = held.select(F.col("source").alias("source"), F.col("page").alias("page"), F.explode(F.array_distinct(keys)).alias("line"))
-    return found.where("line <> ''")
+    found = held.select(F.col("source").alias("source"), F.col("page").alias("page"), F.explode(every).alias("line"))
+    # a key may be empty; a test on it here would have it computed twice
+    return found.withColumn("line", t.heading_key(F.col("line")))
 
 
 def _words(x: Column) -> Column:
