@@ -40,7 +40,9 @@ def as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages, fifty to a book, so that there are the more books the larger the table is."""
     docs = table(spark, sf_dir, "documents")
     book, page = F.concat(F.lit("b"), F.floor(F.col("doc_id") / 50).cast("string")), (F.col("doc_id") % 50 + 1).cast("int")
-    return docs.select(book.alias("source"), page.alias("page"), "text", F.length("text").alias("n_chars"), "doc_id")
+    held = docs.select(book.alias("source"), page.alias("page"), "text", F.length("text").alias("n_chars"), "doc_id")
+    # the test table is one file of one row group; a book's pages are dealt out together
+    return held.repartition("source")
 
 
 def as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
