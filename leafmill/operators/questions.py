@@ -48,7 +48,8 @@ def met_templates(chunks: DataFrame, forms: DataFrame, least: int) -> DataFrame:
 
     Only the types of which a chunk has a term of ``least`` characters count. A
     template is looked up by the one of its types that fewest chunks have, so a
-    type that most chunks have brings them to no template that asks for more.
+    type that most chunks have brings them to no template that asks for more. The
+    templates are handed to the chunks whatever Spark takes their sizes for.
     """
     good = F.map_keys(F.map_filter("entities", lambda _, terms: F.exists(terms, lambda v: F.length(v) >= least)))
     typed = chunks.withColumn("_types", good)
@@ -56,7 +57,7 @@ def met_templates(chunks: DataFrame, forms: DataFrame, least: int) -> DataFrame:
     asked = forms.select("_seq", "template_id", F.posexplode("requires").alias("_k", "_type")).join(often, "_type", "left")
     rarest = asked.groupBy("_seq", "template_id").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_k", "_type"))["_type"].alias("_type"))
     keyed = forms.join(rarest, ["_seq", "template_id"])
-    return typed.withColumn("_type", F.explode("_types")).join(keyed, "_type")
+    return typed.withColumn("_type", F.explode("_types")).join(F.broadcast(keyed), "_type")
 
 
 def generated(records: DataFrame, templates: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -69,7 +70,8 @@ def generated(records: DataFrame, templates: DataFrame, settings: Settings = Set
     some = F.size(F.filter(F.map_values("entities"), lambda v: F.size(v) > 0)) >= settings.min_entity_types
     forms = templates.withColumn("_names", F.array_distinct(placeholders(F.col("template")))).where("size(requires) > 0 and size(_names) > 0")
     forms = forms.select(F.col("seq").alias("_seq"), F.col("id").alias("template_id"), "template", "intent", "requires", "_names")
-    met = met_templates(records.where(some), forms, least).where(F.forall("requires", lambda r: F.array_contains("_types", r)))
+    # dealt out as the numbering below asks for, before questions make many rows of them
+    met = met_templates(records.where(some).repartition("source", "chunk_id"), forms, least).where(F.forall("requires", lambda r: F.array_contains("_types", r)))
     kept = lambda kind: F.slice(F.filter(F.coalesce(F.try_element_at("entities", kind), F.array().cast("array<string>")), lambda v: F.length(v) >= least), 1, settings.values_per_placeholder)
     met = met.withColumn("_values", F.transform("_names", kept)).where(F.forall("_values", lambda v: F.size(v) > 0))
     rows = met.select("*", F.posexplode(combinations(F.col("_names"), F.col("_values"), settings.combinations)).alias("_k", "_combo"))
