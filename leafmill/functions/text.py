@@ -243,7 +243,7 @@ def is_reference(text: Column) -> Column:
         words = words | low.contains(word)
     dated = F.substring(text, 1, 60).contains(",") & matches(start, packs.REFERENCE_YEAR)
     named = matches(F.substring(text, 1, 80), packs.REFERENCE_NAME)
-    return words | dated | named | matches(start, packs.REFERENCE_ISSUE)
+    return words | matches(low, packs.REFERENCE_ID) | dated | named | matches(start, packs.REFERENCE_ISSUE)
 
 
 def heading_candidate(line: Column) -> Column:

@@ -82,7 +82,9 @@ LINE_MARK = r"^\s*(\d+\.|[IVX]+\.|ПОГЛАВЉЕ\s+\d+\.)\s*"
 ENTRY_DOTS = r"\.{2,}\s*(\d{1,4})?\s*$"
 ENTRY_GAP = r"\s{2,}(\d{1,4})\s*$"
 # What a bibliography entry holds.
-REFERENCE_WORDS = ["et al", "doi:", "pmid", "http://", "https://"]
+REFERENCE_WORDS = ["et al", "doi:", "http://", "https://"]
+# a word of its own, letters around it make another one
+REFERENCE_ID = r"(?<!\p{L})pmids?(?!\p{L})"
 REFERENCE_YEAR = r"\b(19|20)\d{2}\b"
 REFERENCE_ISSUE = r"\b(19|20)\d{2}[;.]"
 REFERENCE_NAME = rf"[A-Z{CYRILLIC_UPPER}][a-z{CYRILLIC_LOWER}]+\s+[A-Z{CYRILLIC_UPPER}]\."
