@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..packs import Settings
+from ..shared import written
 from .runs import numbered
 
 
@@ -87,10 +88,10 @@ def deduplicated(questions: DataFrame, order: list[str], group: list[str], size:
     ``_first`` tells the place: the order columns of the key's first row.
     """
     keyed = questions.withColumn("_key", t.query_key(F.col(query))).where("_key <> ''").withColumn("_size", size)
-    best = Window.partitionBy(*group, "_key").orderBy(F.desc("_size"), *order)
-    whole = Window.partitionBy(*group, "_key")
-    ranked = keyed.withColumn("_first", F.min(F.struct(*order)).over(whole)).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return ranked.drop("_key", "_size", "_n")
+    # aggregates join equal keys before the shuffle; a window would send all rows of a key to one task
+    place = F.struct(F.isnull("_size"), -F.col("_size"), *order)
+    ranked = keyed.groupBy(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(group)), "_key").agg(F.min_by(F.struct(*questions.columns), place).alias("_row"), F.min(F.struct(*order)).alias("_first"))
+    return ranked.select("_row.*", "_first")
 
 
 def top_counts(rows: DataFrame, by: str, n: int, order: str | None = None, group: list[str] | None = None) -> DataFrame:
@@ -115,7 +116,10 @@ def instance_stats(chunks: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFr
 
 def question_report(questions: DataFrame, n: int = 10) -> DataFrame:
     """``(dimension, value, n, rank)``: all sources by name, the ``n`` most frequent intents and templates."""
-    counted = {c: questions.groupBy(F.coalesce(c, F.lit("?")).alias("value")).agg(F.count("*").alias("n")) for c in ("source", "intent", "template_id")}
+    by = ("source", "intent", "template_id")
+    # the questions are read once; what they are counted by is few rows
+    held, _ = written(questions.groupBy(*(F.coalesce(c, F.lit("?")).alias(c) for c in by)).agg(F.count("*").alias("n")), "question-counts")
+    counted = {c: held.groupBy(F.col(c).alias("value")).agg(F.sum("n").alias("n")) for c in by}
     parts = [numbered(counted["source"], ["value"], "rank")]
     for c in ("intent", "template_id"):
         # ranks of at most n rows

@@ -20,3 +20,10 @@ def test_chunks_are_not_broadcast_to_templates(spark):
     # a hint stands in the plan, so no size of the chunks' file has them broadcast
     assert "rightHint=(strategy=broadcast)" in before
     assert made.count() == 20
+
+
+def test_equal_questions_meet_in_aggregates(spark):
+    rows = spark.createDataFrame([("s", n, "What is x?", size) for n, size in enumerate([1, None, 3, 3])], "source string, n int, query string, size int")
+    kept = questions.deduplicated(rows, ["n"], ["source"], F.col("size"))
+    assert "Window" not in plan_of(kept)
+    assert [(r.n, r._first.n) for r in kept.collect()] == [(2, 0)]
