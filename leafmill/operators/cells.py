@@ -38,6 +38,9 @@ ROUNDS = 2
 BLOCK = 1024
 PACK = 256
 HELD_BYTES = 64 << 20
+#: Pairs of query and cell that are looked at together, and bytes of rows that go on together.
+PAIRS = 1 << 14
+SENT_BYTES = 4 << 20
 #: Scores are rounded to so many digits; bounds are taken a little wider.
 DIGITS = 12
 SLACK = 1e-9
@@ -93,6 +96,19 @@ class _Packer:
             yield from self._rows(at)
 
 
+def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, few at a time, never all that a packer holds."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += row[2].nbytes
+        if size >= SENT_BYTES:
+            yield _batch(held, names)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names)
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     cells, numbers, vectors, extra = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(numbers, pa.list_(pa.int64())), pa.array(vectors, pa.list_(pa.float64())), pa.array(extra, pa.list_(pa.float64()))], names)
@@ -145,10 +161,8 @@ def dealt(index: DataFrame, cells: int | None = None, id_: str = "id") -> Cells
             if len(batch):
                 own = _matrix(batch.column(1))
                 cell, far = _nearest(own, centres)
-                if rows := list(packer.add(cell, batch.column(0).to_numpy(zero_copy_only=False), own, far)):
-                    yield _batch(rows, names)
-        if rows := list(packer.rest()):
-            yield _batch(rows, names)
+                yield from _batches(packer.add(cell, batch.column(0).to_numpy(zero_copy_only=False), own, far), names)
+        yield from _batches(packer.rest(), names)
 
     made = vectors.mapInArrow(block, "cell int, ids array<long>, vectors array<double>, distances array<double>")
     blocks, _ = written(made.select("cell", "ids", "vectors", F.array_max("distances").alias("radius")), "cells")
@@ -223,16 +237,15 @@ def _packed(queries: DataFrame, index: Cells, wanted: int, late: bool) -> DataFr
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, packer = ["cell", "qids", "queries", "floors"], _Packer(PACK)
+        # few at a time, as each may meet every cell
+        most = max(1, min(PACK, PAIRS // len(cells[0])))
         for batch in batches:
-            # few at a time, as each may meet every cell
-            for at in range(0, len(batch), PACK):
-                part = batch.slice(at, PACK)
+            for at in range(0, len(batch), most):
+                part = batch.slice(at, most)
                 own, floors = _matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
                 query, cell = np.nonzero(_met(own, floors, cells, wanted, late))
-                if rows := list(packer.add(cell, part.column(0).to_numpy(zero_copy_only=False)[query], own[query], floors[query])):
-                    yield _batch(rows, names)
-        if rows := list(packer.rest()):
-            yield _batch(rows, names)
+                yield from _batches(packer.add(cell, part.column(0).to_numpy(zero_copy_only=False)[query], own[query], floors[query]), names)
+        yield from _batches(packer.rest(), names)
 
     return queries.select("id", "embedding", "floor").mapInArrow(pack, "cell int, qids array<long>, queries array<double>, floors array<double>")
 

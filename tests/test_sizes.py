@@ -1,8 +1,9 @@
 """What stands on which side of a join or window, and what follows for large tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from leafmill.operators import questions
+from leafmill.operators import cells, questions
 
 FORMS = "seq int, id string, template string, intent string, requires array<string>"
 RECORDS = "chunk_id string, source string, pdf_page int, section_path array<string>, section_ids array<string>, entities map<string,array<string>>"
@@ -27,3 +28,11 @@ def test_equal_questions_meet_in_aggregates(spark):
     kept = questions.deduplicated(rows, ["n"], ["source"], F.col("size"))
     assert "Window" not in plan_of(kept)
     assert [(r.n, r._first.n) for r in kept.collect()] == [(2, 0)]
+
+
+def test_rows_of_a_packer_go_on_few_at_a_time():
+    rows = [(k, np.arange(8), np.zeros(8 << 16), np.zeros(8)) for k in range(6)]
+    sent = list(cells._batches(iter(rows), ["cell", "ids", "vectors", "distances"]))
+    assert [len(x) for x in sent] == [1] * 6
+    small = [(k, np.arange(2), np.zeros(8), np.zeros(2)) for k in range(6)]
+    assert [len(x) for x in cells._batches(iter(small), ["cell", "ids", "vectors", "distances"])] == [6]
