@@ -97,16 +97,34 @@ def section_paths(sections: DataFrame) -> DataFrame:
     return sections.join(paths.select("source", "seq", F.transform("_p", lambda x: x["_title"]).alias("section_path")), ["source", "seq"])
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """``(source, page, line)``: a page's lines, and each with the next one, as heading keys."""
-    lines = F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "")
-    held = pages.withColumn("_lines", lines).where(F.size("_lines") > 0)
-    both = F.transform(F.sequence(F.lit(1), F.size("_lines") - 1), lambda k: F.concat(F.element_at("_lines", k), F.lit(" "), F.element_at("_lines", k + 1)))
-    every = F.array_distinct(F.concat("_lines", F.when(F.size("_lines") > 1, both).otherwise(F.array().cast("array<string>"))))
+def _likeable(size: Column, least: Column) -> tuple[Column, Column]:
+    """The least and the greatest length of a line that may be like a target of ``size`` characters."""
+    return F.ceil(size * least / (2 - least) - 1e-9), F.floor(size * (2 - least) / least + 1e-9)
+
+
+def line_rooms(targets: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``(source, _room)``: a longer line can only begin with one of its document's targets, and that shows within ``_room`` + 1 characters."""
+    size = F.length("target")
+    return targets.groupBy("source").agg(F.greatest(F.lit(settings.overlap_line), F.max(size), F.max(_likeable(size, F.col("least"))[1])).cast("int").alias("_room"))
+
+
+def page_lines(pages: DataFrame, targets: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``(source, page, line)``: a page's lines, and each with the next one, as heading keys.
+
+    Keys are cut after as many characters as their document's targets may tell
+    apart. A line that is longer is not read with the next one, as both begin alike.
+    """
     # under names of their own, as both sides of later joins may come from one table
-    found = held.select(F.col("source").alias("source"), F.col("page").alias("page"), F.explode(every).alias("line"))
-    # a key may be empty; a test on it here would have it computed twice
-    return found.withColumn("line", t.heading_key(F.col("line")))
+    held = pages.select(F.col("source").alias("source"), F.col("page").alias("page"), F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "").alias("_lines")).join(line_rooms(targets, settings), "source")
+
+    def every(keys: Column) -> Column:
+        last = F.sequence(F.lit(0), F.size(keys) - 2)
+        paired = F.when(F.size(keys) > 1, F.filter(last, lambda k: F.length(F.get(keys, k)) <= F.col("_room"))).otherwise(F.array().cast("array<int>"))
+        both = F.transform(paired, lambda k: t.heading_key(F.concat(F.get("_lines", k), F.lit(" "), F.get("_lines", k + 1))))
+        return F.array_distinct(F.transform(F.concat(keys, both), lambda key: F.substring(key, F.lit(1), F.col("_room") + 1)))
+
+    # as one expression: a test on a named array would have it computed again
+    return held.select("source", "page", F.explode(t.let(F.transform("_lines", t.heading_key), every)).alias("line"))
 
 
 def _words(x: Column) -> Column:
@@ -119,7 +137,7 @@ def _as_prefix(lines: DataFrame, targets: DataFrame) -> DataFrame:
     A line's beginnings up to its document's longest target are looked up by hash.
     """
     longest = targets.groupBy("source").agg(F.max(F.length("target")).alias("_longest"))
-    ends = F.filter(F.sequence(F.lit(10), F.greatest(F.lit(10), F.least(F.length("line"), "_longest"))), lambda p: (p == F.length("line")) | (F.substring("line", p + 1, F.lit(1)) == " "))
+    ends = t.let(F.length("line"), lambda n: F.filter(F.sequence(F.lit(10), F.greatest(F.lit(10), F.least(n, "_longest"))), lambda p: (p == n) | (F.substring("line", p + 1, F.lit(1)) == " ")))
     begun = lines.join(longest, "source").where(F.length("line") >= 10).select("source", "line", F.explode(F.transform(ends, lambda p: F.xxhash64(F.substring(F.col("line"), F.lit(1), p)))).alias("_hash"))
     found = begun.join(targets.where(F.length("target") >= 10).withColumn("_hash", F.xxhash64("target")), ["source", "_hash"])
     return found.where(F.col("line").startswith(F.col("target"))).select("source", "line", "seq")
@@ -147,7 +165,7 @@ def _by_words(lines: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
 def _by_likeness(lines: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
     """A line like a target; only lines of a length that may be, and letters that may be, are compared."""
     sized = targets.withColumn("_size", F.length("target")).where("_size > 0")
-    low, high = F.ceil(F.col("_size") * F.col("least") / (2 - F.col("least")) - 1e-9), F.floor(F.col("_size") * (2 - F.col("least")) / F.col("least") + 1e-9)
+    low, high = _likeable(F.col("_size"), F.col("least"))
     banded = sized.select("source", "seq", "target", "least", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), F.greatest(high, F.lit(1)).cast("int"))).alias("_length"))
     pairs = lines.withColumn("_length", F.length("line")).join(banded, ["source", "_length"]).select("source", "line", "seq", "target", "least")
 
@@ -211,7 +229,7 @@ def heading_pages(sections: DataFrame, pages: DataFrame, located: DataFrame, set
     least = F.when(F.length("_target") < settings.short_title, F.lit(settings.fuzzy_short)).otherwise(F.lit(settings.fuzzy_long))
     targets, _ = written(wanted.where("_target <> ''").select("source", "seq", F.explode(t.heading_variants(F.col("_target"))).alias("target"), least.alias("least")), "targets")
     kept = pages.join(located.select("source", "page"), ["source", "page"], "left_anti")
-    lines, _ = written(page_lines(kept), "page-lines")
+    lines, _ = written(page_lines(kept, targets, settings), "page-lines")
     place = F.row_number().over(Window.partitionBy("source").orderBy("page")) - 1
     places = kept.select(F.col("source").alias("source"), F.col("page").alias("page")).withColumn("_place", place)
     hits = heading_hits(targets, lines, settings).join(places, ["source", "page"])

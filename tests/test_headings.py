@@ -122,3 +122,17 @@ def held_against_the_walk(entries, pages, located):
     assert len(got) == sum(map(len, told.values()))
     assert {r.source: r.headings_found for r in report.collect()} == {d: sum(v is not None for (k, _), v in got.items() if k == d) for d in told}
     return sum(v is not None for v in got.values())
+
+
+def test_long_lines_are_cut_and_not_read_with_the_next_one(spark):
+    """Keys hold no more than tells targets apart; a long line still counts as a heading's beginning."""
+    long, prose = "Akutna astma dece " + "i mere " * 60, "red " * 200
+    body = [("d", 1, "\n".join([prose, prose + "x", "kratak red", "drugi red", prose])), ("d", 2, f"{prose}\n{long}\n{prose}"), ("none", 1, prose)]
+    entries = spark.createDataFrame([("d", 0, None, None, "Akutna astma dece"), ("d", 1, None, None, "Nema ga")], "source string, seq int, marker_text string, id string, title string")
+    pages = spark.createDataFrame(body, "source string, page int, text string")
+    assert held_against_the_walk(entries, pages, pages.select("source", "page").limit(0)) == 1
+    targets = spark.createDataFrame([("d", 0, "akutna astma dece", 0.9)], "source string, seq int, target string, least double")
+    got = [(r.page, r.line) for r in sections.page_lines(pages, targets).collect()]
+    cut = ("red " * 200)[: S.overlap_line + 1]
+    want = [(1, cut), (1, "kratak red"), (1, "drugi red"), (1, "kratak red drugi red"), (1, ("drugi red " + prose)[: S.overlap_line + 1]), (2, cut), (2, long.lower()[: S.overlap_line + 1])]
+    assert sorted(got) == sorted(want)
