@@ -30,6 +30,17 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"{U}\\A{SPACE}+|{SPACE}+\\z", "")
 
 
+def strip_held(x: Column) -> Column:
+    """``strip`` of a column or of a value that ``let`` holds: looked at in whole only if white space is at an end."""
+    ends = F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1))
+    return F.when(matches(ends, SPACE), strip(x)).otherwise(x)
+
+
+def has_sign(x: Column) -> Column:
+    """Whether anything but white space is there."""
+    return x.rlike(f"{U}[^\\s\\x1c-\\x1f]")
+
+
 def rstrip(x: Column) -> Column:
     return F.regexp_replace(x, f"{U}{SPACE}+\\z", "")
 
@@ -104,7 +115,7 @@ def query_key(query: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(text, f"{U}(?<=[.!?])\\s+", -1), strip)
+    parts = F.transform(F.split(text, f"{U}(?<=[.!?])\\s+", -1), strip_held)
     return F.filter(parts, lambda x: x != "")
 
 
@@ -277,16 +288,25 @@ def packed(parts: Column, target: int = 700, least: int = 200) -> Column:
     The first sentence of a piece counts one character more unless it started
     the piece by passing the target.
     """
-    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("size"), F.lit(0).alias("n"))
+    return let(parts, lambda held: _packed(held, target, least))
 
-    def step(held: Column, part: Column) -> Column:
-        size = F.length(part)
-        joined = F.when(held["n"] > 0, F.concat(held["now"], F.lit(" "), part)).otherwise(part)
-        state = lambda done, now, size, n: F.struct(done.alias("done"), now.alias("now"), size.cast("int").alias("size"), n.cast("int").alias("n"))
+
+def _packed(parts: Column, target: int, least: int) -> Column:
+    none = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).alias("n"))
+    state = lambda ends, at, size, n: F.struct(ends.alias("ends"), at.cast("int").alias("at"), size.cast("int").alias("size"), n.cast("int").alias("n"))
+
+    def step(held: Column, size: Column) -> Column:
+        # where pieces end, by numbers of sentences; no text is joined on the way
+        at = held["at"] + 1
         over = (held["n"] > 0) & (held["size"] + size + 1 > target)
-        fresh = state(F.array_append(held["done"], held["now"]), part, size, F.lit(1))
-        closed = state(F.array_append(held["done"], joined), F.lit(""), F.lit(0), F.lit(0))
-        more = state(held["done"], joined, held["size"] + size + 1, held["n"] + 1)
-        return F.when(over & (held["size"] >= least), fresh).when(over, closed).otherwise(more)
+        fresh = state(F.array_append(held["ends"], held["at"]), at, size, F.lit(1))
+        closed = state(F.array_append(held["ends"], at), at, F.lit(0), F.lit(0))
+        more = state(held["ends"], at, held["size"] + size + 1, held["n"] + 1)
+        return F.when(~over, more).when(held["size"] >= least, fresh).otherwise(closed)
+
+    def cut(ends: Column) -> Column:
+        begin = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+        return F.transform(ends, lambda end, k: F.array_join(F.slice(parts, begin(k) + 1, end - begin(k)), " "))
 
-    return F.aggregate(parts, none, step, lambda held: F.when(held["n"] > 0, F.array_append(held["done"], held["now"])).otherwise(held["done"]))
+    ends = F.aggregate(F.transform(parts, F.length), none, step, lambda held: F.when(held["n"] > 0, F.array_append(held["ends"], held["at"])).otherwise(held["ends"]))
+    return let(ends, cut)

@@ -31,21 +31,30 @@ def section_text(sections: DataFrame, pages: DataFrame) -> DataFrame:
     held = held.select(*KEY, F.explode(F.sequence(F.col("pdf_page").cast("int"), end.cast("int"))).alias("_page"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_page", "_body"))), lambda x: x["_body"]), "\n")
     texts = held.join(body, ["source", "_page"]).groupBy(*KEY).agg(text.alias("text"))
-    return ranged.drop("_next").join(texts, KEY).where(t.strip(F.col("text")) != "")
+    return ranged.drop("_next").join(texts, KEY).where(t.has_sign(F.col("text")))
 
 
 def typed_lines(texts: DataFrame, pack: LanguagePack = LanguagePack()) -> DataFrame:
     """Lines of each text with the recommendation, table and list that they are in."""
-    lines = texts.select(*KEY, F.posexplode(t.lines_of(F.col("text"))).alias("line_no", "line"))
-    s = t.strip(F.col("line"))
-    rec, table = t.matches(s, pack.recommendation), t.matches(s, pack.table)
-    ends = t.any_match(s, packs.SEGMENT_END)
+
+    def told(line: Column) -> Column:
+        def judged(s: Column) -> Column:
+            rec, table = t.matches(s, pack.recommendation), t.matches(s, pack.table)
+            return F.struct(
+                line.alias("line"), rec.alias("_rec"), table.alias("_table"), t.any_match(s, packs.SEGMENT_END).alias("_ends"), t.matches(s, pack.bibliography_line).alias("_bibliography"), t.matches(s, pack.bullet).alias("_bullet"),
+                F.when(rec, F.regexp_extract(s, t.U + pack.recommendation, 1)).alias("rec_id"),
+                F.when(table, F.regexp_extract(s, t.U + pack.table, 1)).alias("table_id"), F.when(table, t.strip(F.regexp_extract(s, t.U + pack.table, 2))).alias("table_title"),
+            )
+
+        return t.let(t.strip_held(line), judged)
+
+    # a line is looked at once, before the windows
+    out = texts.select(*KEY, F.posexplode(F.transform(t.lines_of(F.col("text")), told)).alias("line_no", "_l")).select(*KEY, "line_no", "_l.*")
     order = ["line_no"]
-    out = lines.withColumn("rec_id", F.when(rec, F.regexp_extract(s, t.U + pack.recommendation, 1)))
-    out = out.withColumn("table_id", F.when(table, F.regexp_extract(s, t.U + pack.table, 1))).withColumn("table_title", F.when(table, t.strip(F.regexp_extract(s, t.U + pack.table, 2))))
-    out = segments(out, KEY, order, rec, table | t.matches(s, pack.bibliography_line) | ends, "rec")
+    rec, table, ends = F.col("_rec"), F.col("_table"), F.col("_ends")
+    out = segments(out, KEY, order, rec, table | F.col("_bibliography") | ends, "rec")
     out = segments(out, KEY, order, table, rec | ends, "tbl")
-    return islands(out, KEY, order, t.matches(s, pack.bullet), "list", 2)
+    return islands(out, KEY, order, F.col("_bullet"), "list", 2).drop("_rec", "_table", "_ends", "_bibliography", "_bullet")
 
 
 def recommendation_parts(text: Column, pack: LanguagePack, settings: Settings) -> Column:
@@ -92,11 +101,16 @@ def section_chunks(texts: DataFrame, pack: LanguagePack = LanguagePack(), settin
     # an item's first line names it; the other lines' names are null
     names = [F.max(F.when(F.col("_t.kind") == kind, F.col(c))).alias(c) for kind, c in ((0, "rec_id"), (1, "table_id"), (1, "table_title"))]
     items = lines.groupBy(*KEY, F.col("_t.kind").alias("kind_rank"), F.col("_t.item").alias("item")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"), *names)
-    items = items.withColumn("_lines", F.transform("_lines", lambda x: x["line"])).withColumn("_text", t.strip(F.array_join("_lines", "\n")))
+    items = items.withColumn("_lines", F.transform("_lines", lambda x: x["line"]))
     kind = F.col("kind_rank")
-    parts = F.when(kind == 0, recommendation_parts(F.col("_text"), pack, settings)).when(kind == 1, F.array("_text"))
-    parts = parts.when(kind == 2, list_parts(F.col("_text"), F.transform("_lines", t.strip), settings)).otherwise(t.packed(t.sentences(F.col("_text")), settings.pack_target, settings.pack_min))
-    rows = items.withColumn("_parts", parts).withColumn("_total", F.size("_parts")).select("*", F.posexplode("_parts").alias("_k", "text"))
+
+    def parts(text: Column) -> Column:
+        found = F.when(kind == 0, recommendation_parts(text, pack, settings)).when(kind == 1, F.array(text))
+        return found.when(kind == 2, list_parts(text, F.transform("_lines", t.strip), settings)).otherwise(t.packed(t.sentences(text), settings.pack_target, settings.pack_min))
+
+    # as one expression: of a named array a test on its size is inferred, which would have the parts computed again
+    pieces = t.let(t.let(t.let(F.array_join("_lines", "\n"), t.strip_held), parts), lambda held: F.transform(held, lambda x: F.struct(x.alias("text"), F.size(held).alias("_total"))))
+    rows = items.select(*KEY, "kind_rank", "item", "rec_id", "table_id", "table_title", F.posexplode(pieces).alias("_k", "_p")).select("*", "_p.*").drop("_p")
 
     base = texts.select(*KEY, "pdf_page", "section_path", "section_ids", F.size("section_ids").alias("section_level"), t.is_summary(F.col("title"), pack).alias("is_summary"), "parent_section_id", "sibling_sections")
     place = F.concat_ws("::", F.col("source"), F.element_at("section_ids", -1), F.concat(F.lit("p"), F.col("pdf_page").cast("string")))
@@ -144,5 +158,6 @@ def document_chunks(sections: DataFrame, pages: DataFrame, pack: LanguagePack =
 
 def paragraph_chunks(texts: DataFrame, key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """Plain texts packed by sentences: ``(key, chunk_index, chunk_total, text)``."""
-    parts = texts.select(key, t.packed(t.sentences(F.col("text")), settings.pack_target, settings.pack_min).alias("_parts"))
-    return parts.select(key, F.size("_parts").alias("chunk_total"), F.posexplode("_parts").alias("chunk_index", "text"))
+    packed = t.packed(t.sentences(F.col("text")), settings.pack_target, settings.pack_min)
+    pieces = t.let(packed, lambda held: F.transform(held, lambda x: F.struct(F.size(held).alias("chunk_total"), x.alias("text"))))
+    return texts.select(key, F.posexplode(pieces).alias("chunk_index", "_p")).select(key, "_p.chunk_total", "chunk_index", "_p.text")

@@ -50,8 +50,8 @@ def clean_pages(raw: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def without_header(lines: Column) -> Column:
     """A page's lines without a first line that is its number."""
-    first = t.is_page_number(t.strip(F.element_at(lines, 1)))
-    return F.when(first, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    first = lambda held: t.is_page_number(t.strip(F.element_at(held, 1)))
+    return t.let(lines, lambda held: F.when(first(held), F.slice(held, 2, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(held))
 
 
 def page_stats(pages: DataFrame) -> DataFrame:
