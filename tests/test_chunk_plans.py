@@ -29,3 +29,15 @@ def test_texts_are_cut_once(spark):
                 now, size = [*now, part], size + len(part) + 1
         done += [now] if now else []
         assert got.get(k, []) == [(len(done), " ".join(x)) for x in done]
+
+
+def test_lines_are_judged_once(spark):
+    """Every line is stripped in one place, before the windows that tell segments and lists."""
+    texts = spark.createDataFrame([("s", 1, "Препорука 9.1\nред\nТабела 2. Naslov\nпоље\n• a\n– b\n– c\nII. Kraj\nred")], "source string, seq int, text string")
+    found = chunks.typed_lines(texts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window" in line or "_w0" in line]
+    assert windows and not any("regexp" in line.lower() or "rlike" in line.lower() for line in windows)
+    got = [(r.rec_id, r.table_id, r.table_title, r.rec, r.tbl, r.list) for r in found.orderBy("line_no").collect()]
+    none = (None,) * 3
+    assert got == [("9.1", None, None, 1, None, None), (*none, 1, None, None), (None, "2", "Naslov", None, 1, None), (*none, None, 1, None), (*none, None, 1, 1), (*none, None, 1, 1), (*none, None, 1, 1), (*none, None, None, None), (*none, None, None, None)]
