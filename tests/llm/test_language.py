@@ -87,3 +87,31 @@ def test_unlearned_languages_and_lettered_junk_go(spark):
         ids = {r.doc_id for r in language.recognised(docs, bounds=language.Bounds(epochs=12, rate=0.02, lanes=64)).collect()}
         assert not ids & {k for k, *_ in planted}
         assert len(ids) >= 0.99 * len(clean)
+
+
+def test_evidence_comes_from_all_texts(spark):
+    """Pairs of every learned text, whole, and prefixes of every held-out text count, however many there are."""
+    rng = random.Random(6)
+    rows = [(k, sentence(rng, lang := list(PARTS)[k % 2], rng.randrange(1, 8)), lang) for k in range(6000)]
+    rows += [(6001, sentence(rng, "aa", 3000), "aa"), (None, "null id", "aa"), (6002, None, "aa"), (6003, "12 34", "bb"), (6004, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    want = np.zeros((2, 256, 256))
+    for k, text, lang in rows:
+        own = (text or "").encode()
+        if k is not None and lang and not held(k):
+            for pair in zip(own, own[1:]):
+                want[["aa", "bb"].index(lang)][pair] += 1
+    counts = language.pair_counts(docs, ["aa", "bb"])
+    assert (counts == want).all()
+    net, known = language.Network(["aa", "bb"], 1), language.Evidence(counts)
+    seen = language.held_out_steps(docs, net, known)
+    out = [(text.encode(), lang) for k, text, lang in rows if k is not None and held(k) and lang and any(c.isalpha() for c in text or "")]
+    assert len(out) > 1400
+    for k, size in enumerate(language.PREFIXES):
+        own = [(x[:size], lang) for x, lang in out if len(x) >= size]
+        right = 0 if not own else sum(net.labels[i] == lang for i, (_, lang) in zip(language.document_probabilities(net, [x for x, _ in own]).argmax(axis=1), own))
+        assert sum(seen.get((k, 0), {}).values()) == sum(seen.get((k, 1), {}).values()) == right
+    texts = [x for x, _ in out[:50]] + [b"abc " * 700, b"x" * 64, b"y" * 129]
+    for k, own, p in language.prefix_probabilities(net, texts):
+        assert np.allclose(p, language.document_probabilities(net, [texts[i][: language.PREFIXES[k]] for i in own]), atol=1e-5)
