@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Frequencies of hashed words (features) over all passages of all documents.
-2. A randomised SVD of the TF-IDF passages, computed in tasks over a bounded,
-   documented sample of documents: a product of the matrix's Gram form with normal
-   draws gives a basis, and the Gram form in that basis the directions; only sums
-   of a fixed size come to the driver. Later steps index every passage.
+2. A randomised SVD of the TF-IDF passages of all distinct texts, computed in tasks:
+   a product of the matrix's Gram form with normal draws gives a basis, and the Gram
+   form in that basis the directions; only sums of a fixed size come to the driver.
 3. Every passage of every document (windows of a few words more than the item, one
    every eight words, or every eighth of long items) is projected and compared with every item by cosine.
    Places that hold the start of an item's answer, or any three words of an item
@@ -44,12 +43,13 @@ RANK = 96
 EXTRA = 8
 STEP = 8
 PASSAGE = 48
-#: Passages of the SVD's sample, about, of distinct texts; tasks that sum over them.
-SAMPLE = 30_000
+#: Passages that a task of the SVD sums over, about (a task's sums have 14 MB); such tasks at least.
+SUM_PASSAGES = 1 << 18
 SUM_TASKS = 8
 SUM_BLOCK = 512
-#: Passages of the sample that meet a basis at a time: at most 48 rows of it each, 10 MB.
-PRODUCTS = 256
+#: Words whose passages meet a basis together, about, and the sums of its rows that are made at a time.
+SUM_WORDS = PASSAGE << 14
+SUM_ROWS = 256
 DRAW = 5
 #: Items compared in one pass.
 ITEMS = 4096
@@ -100,10 +100,12 @@ def features_of(cleaned: bytes) -> np.ndarray:
         n = len(own)
         up, down = (_up[:n], _down[:n]) if n <= HASH_BLOCK else (_powers(_MULTIPLY, n), _powers(_INVERSE, n))
         apart = np.flatnonzero(own == 32)
-        begins, ends = np.r_[0, apart + 1], np.r_[apart, n]
+        begins, ends = np.zeros(len(apart) + 1, np.int64), np.full(len(apart) + 1, n)
+        begins[1:], ends[:-1] = apart + 1, apart
         some = begins < ends
         begins, ends = begins[some], ends[some]
-        sums = np.r_[np.uint64(0), np.cumsum(own * up)]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(own * up, out=sums[1:])
         codes = (sums[ends] - sums[begins]) * down[begins]
         codes = (codes ^ (codes >> np.uint64(29))) * np.uint64(_MULTIPLY)
         out.append((codes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
@@ -114,27 +116,38 @@ def features_of(cleaned: bytes) -> np.ndarray:
 # --- frequencies ---------------------------------------------------
 
 
+def _hashed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_keeps("decontaminate")
+    for batch in in_parts(batches):
+        found = [features_of(clean(x.as_py())).astype(np.uint16).tobytes() for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["features", "copies"])
+
+
+def hashed(texts: DataFrame) -> DataFrame:
+    """``(features, copies)`` of texts, 16 bits for each word; a table that has them stays as it is."""
+    if "features" in texts.columns:
+        return texts
+    copies = F.col("copies") if "copies" in texts.columns else F.lit(1)
+    return texts.select(text_bytes(), copies.cast("long").alias("copies")).mapInArrow(_hashed_batches, "features binary, copies long")
+
+
 def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_keeps("decontaminate")
     total = np.zeros(FEATURES + 1, np.int64)
     for batch in batches:
-        for texts in _grouped(x.as_py() for x in batch.column(0)):
-            keys, base = [], 0
-            for text in texts:
-                found = features_of(clean(text))
-                keys.append((base + np.arange(len(found)) // PASSAGE) * FEATURES + found)
-                base += -(-len(found) // PASSAGE)
-            every = np.sort(np.concatenate(keys))
+        for features, copies in zip(batch.column(0), batch.column(1).to_pylist()):
+            found = np.frombuffer(features.as_py(), np.uint16).astype(np.int64)
+            every = np.sort(np.arange(len(found)) // PASSAGE * FEATURES + found)
             every = every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
-            total[:FEATURES] += np.bincount(every & (FEATURES - 1), minlength=FEATURES)
-            total[FEATURES] += base
+            np.add.at(total, every & (FEATURES - 1), copies)
+            total[FEATURES] += copies * -(-len(found) // PASSAGE)
     held = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["feature", "n"])
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
     """Passages with a word of each feature, and last the number of passages."""
-    rows = docs.select(text_bytes()).mapInArrow(_frequency_batches, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = hashed(docs).mapInArrow(_frequency_batches, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(FEATURES + 1, np.int64)
     for r in rows:  # at most FEATURES + 1
         total[r.feature] = r.n
@@ -167,58 +180,125 @@ def _passages(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, column, value / np.maximum(norm[row], 1e-12)
 
 
-def _projected(texts: Iterator[bytes], idf: np.ndarray, basis: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, feature, value) of ``PRODUCTS`` passages at a time, rows from 0, and those passages times the basis."""
-    for own in _grouped(texts):
-        row, column, value = _passages(own, idf)
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
-        for at in range(0, len(first), PRODUCTS):
-            starts = first[at : at + PRODUCTS]
-            end = first[at + PRODUCTS] if at + PRODUCTS < len(first) else len(row)
-            held = slice(starts[0], end)
-            begins = starts - starts[0]
-            rows = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, end]))
-            yield rows, column[held], value[held], np.add.reduceat(basis[column[held]] * value[held, None], begins, axis=0)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The features of texts with words, about ``SUM_WORDS`` at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for x in batch.column(0):
+            found = np.frombuffer(x.as_py(), np.uint16).astype(np.int64)
+            for at in range(0, len(found), SUM_WORDS):  # whole passages
+                held.append(found[at : at + SUM_WORDS])
+                size += len(held[-1])
+                if size >= SUM_WORDS:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _sums(table: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The sums of the table's rows that each step names, and a row of zeros."""
+    out = np.empty((len(steps) + 1, table.shape[1]), table.dtype)
+    out[-1] = 0
+    held = np.empty((SUM_ROWS, table.shape[1]), table.dtype)
+    nth = np.ascontiguousarray(steps.T)
+    for at in range(0, len(steps), SUM_ROWS):  # stays in the cache
+        own = out[at : min(at + SUM_ROWS, len(steps))]
+        part = held[: len(own)]
+        table.take(nth[0, at : at + SUM_ROWS], axis=0, out=own, mode="clip")
+        for k in range(1, STEP):
+            table.take(nth[k, at : at + SUM_ROWS], axis=0, out=part, mode="clip")
+            own += part
+    return out
+
+
+def _padded(values: np.ndarray, sizes: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values as whole steps, filled up with ``none``, and the steps of each run."""
+    steps = -(-sizes // STEP)
+    shift = (np.cumsum(steps) - steps) * STEP - (np.cumsum(sizes) - sizes)
+    out = np.full(int(steps.sum()) * STEP, none)
+    out[np.arange(len(values)) + np.repeat(shift, sizes)] = values
+    return out.reshape(-1, STEP), steps
+
 
+def _run_sums(table: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run's rows of the table, whose last row is zero; steps are added up by steps once."""
+    steps, own = _padded(values, sizes, len(table) - 1)
+    sums = _sums(table, steps)
+    if own.max() > 1:
+        steps, own = _padded(np.arange(len(steps)), own, len(steps))
+        sums = _sums(sums, steps)
+    return np.add.reduceat(sums[:-1], np.cumsum(own) - own, axis=0) if own.max() > 1 else sums[:-1]
 
-def _range_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _projected(texts: list[np.ndarray], idf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, passage of each, norms of the passages, passages of norm one times the basis).
+
+    ``table`` is the basis times the frequencies, and a row of zeros: a passage is the sum of its words' rows.
+    """
+    sizes = np.array([len(x) for x in texts])
+    words, passages = np.concatenate(texts), -(-sizes // PASSAGE)
+    within = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.repeat(np.cumsum(passages) - passages, sizes) + within // PASSAGE
+    keys = np.sort(row * FEATURES + words)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    value = np.diff(np.r_[at, len(keys)]) * idf[keys[at] & (FEATURES - 1)]
+    norm = np.maximum(np.sqrt(np.bincount(keys[at] // FEATURES, value * value)), 1e-12)
+    projected = _run_sums(table, words, np.bincount(row))
+    projected /= norm.astype(table.dtype)[:, None]
+    return words, row, norm, projected
+
+
+def _with_zeros(rows: np.ndarray) -> np.ndarray:
+    return np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+
+
+def _range_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray, kind: type) -> Iterator[pa.RecordBatch]:
     """The task's share of A'A times normal draws, in blocks of features; every task makes the same draws."""
     worker_keeps("decontaminate")
-    drawn = np.random.default_rng(DRAW).normal(size=(FEATURES, RANK + EXTRA))
-    total = np.zeros(drawn.shape)
+    table = _with_zeros(idf[:, None] * np.random.default_rng(DRAW).normal(size=(FEATURES, RANK + EXTRA))).astype(kind)
+    total = np.zeros((FEATURES, RANK + EXTRA))
     some = False
-    for batch in batches:
-        for row, column, value, projected in _projected((x.as_py() for x in batch.column(0)), idf, drawn):
-            some = True
-            order = np.argsort(column, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, column[order][1:] != column[order][:-1]])
-            total[column[order][cuts]] += np.add.reduceat(projected[row[order]] * value[order][:, None], cuts, axis=0)
+    for texts in _gathered(batches):
+        some = True
+        words, row, norm, projected = _projected(texts, idf, table)
+        # the passages that have each feature, as often as they have it
+        n = np.bincount(words, minlength=FEATURES)
+        held = np.flatnonzero(n)
+        projected /= norm.astype(kind)[:, None]
+        total[held] += _run_sums(_with_zeros(projected), row[np.argsort(words.astype(np.uint16), kind="stable")], n[held])
     if some:
+        total *= idf[:, None]
         blocks = range(0, FEATURES, SUM_BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[b : b + SUM_BLOCK].tobytes() for b in blocks])], ["block", "sums"])
 
 
+def _summed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's sum, a batch at a time."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(sums.as_py())
+            total[block] = total[block] + own if block in total else own
+    for block, sums in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums.tobytes()])], ["block", "sums"])
+
+
 def _inner_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray, basis: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The task's share of (A basis)'(A basis), a small matrix."""
     worker_keeps("decontaminate")
+    table = _with_zeros(idf[:, None] * basis).astype(basis.dtype)
     total = np.zeros((basis.shape[1], basis.shape[1]))
-    for batch in batches:
-        for *_, projected in _projected((x.as_py() for x in batch.column(0)), idf, basis):
-            total += projected.T @ projected
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
-
+    for texts in _gathered(batches):
+        *_, projected = _projected(texts, idf, table)
+        total += projected.T @ projected
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tobytes()])], ["block", "sums"])
 
-def _basis(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of what the passages' Gram form makes of normal draws."""
 
-    def summed(pdf):
-        import pandas as pd
-
-        total = sum(np.frombuffer(x) for x in pdf["sums"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "sums": [np.asarray(total).tobytes()]})
-
-    tasks = sample.mapInArrow(lambda batches: _range_batches(batches, idf), "block long, sums binary")
-    parts = tasks.groupBy("block").applyInPandas(summed, "block long, sums binary").collect()
+def _basis(texts: DataFrame, idf: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """An orthonormal basis of what the passages' Gram form makes of normal draws; a passage's sums are of ``kind``."""
+    tasks = hashed(texts).mapInArrow(lambda batches: _range_batches(batches, idf, kind), "block long, sums binary")
+    parts = tasks.repartition("block").mapInArrow(_summed_batches, "block long, sums binary").collect()
     out = np.zeros((FEATURES, RANK + EXTRA))
     while parts:  # FEATURES / SUM_BLOCK rows
         r = parts.pop()
@@ -227,25 +307,28 @@ def _basis(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
     return np.linalg.qr(out)[0]
 
 
-def _inner(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _inner(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """The Gram form in the basis, (A basis)'(A basis)."""
-    shared = sample.sparkSession.sparkContext.broadcast((idf, basis))
-    parts = sample.mapInArrow(lambda batches: _inner_batches(batches, *shared.value), "sums binary").collect()  # SUM_TASKS rows
+    shared = texts.sparkSession.sparkContext.broadcast((idf, basis))
+    tasks = hashed(texts).mapInArrow(lambda batches: _inner_batches(batches, *shared.value), "block long, sums binary")
+    parts = tasks.repartition("block").mapInArrow(_summed_batches, "block long, sums binary").collect()  # one row
     shared.destroy()
     return sum((np.frombuffer(r.sums) for r in parts), np.zeros(basis.shape[1] ** 2)).reshape(basis.shape[1], -1)
 
 
 def projection(docs: DataFrame) -> np.ndarray:
-    """(FEATURES + 1, RANK): a word's weight in each whitened latent direction."""
-    n = frequencies(docs)
-    passages = max(1, int(n[FEATURES]))
+    """(FEATURES + 1, RANK): a word's weight in each whitened latent direction.
+
+    Words are hashed once for each distinct text; copies count in the frequencies, not in the directions.
+    """
+    distinct = docs.select(text_bytes()).groupBy("text").agg(F.count("*").alias("copies"))
+    held, path = written(hashed(distinct), "features")
+    n = frequencies(held)
     idf = weights(n)
-    share = min(1.0, SAMPLE / passages)
-    drawn = docs.select(text_bytes()).where(F.pmod(F.xxhash64("text", F.lit(DRAW)), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    sample, path = written(drawn.dropDuplicates(["text"]).repartition(SUM_TASKS), "svd-sample")
-    sample = sample.repartition(SUM_TASKS)
-    basis = _basis(sample, idf)
-    inner = _inner(sample, idf, basis)
+    # read in tasks of as many passages, as each task has sums of its own
+    held = held.coalesce(max(SUM_TASKS, -(-int(n[FEATURES]) // SUM_PASSAGES)))
+    basis = _basis(held, idf, np.float32)
+    inner = _inner(held, idf, basis.astype(np.float32))
     drop(docs.sparkSession, path)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     best = np.argsort(-values)[:RANK]
@@ -365,24 +448,24 @@ class Items:
         longest = max(self.classes, default=STEP)
         parts.append(np.full(longest + room, FEATURES))
         steps = np.concatenate(parts).reshape(-1, STEP)
-        sums = np.empty((len(steps), self.table.shape[1]), np.float32)
-        for begin in range(0, len(steps), 256):  # stays in the cache
-            part = self.table.take(steps[begin : begin + 256], axis=0)
-            part.sum(axis=1, out=sums[begin : begin + 256])
+        sums = _sums(self.table, steps)
         first = np.array(starts)
-        for size, (own, items) in self.classes.items():
-            every = size_unit(size) // STEP
-            for begin in range(0, at, 2048):
-                end = min(at, begin + 2048)
-                windows = sums[begin:end:every].copy()
-                for k in range(1, size // STEP):
+        for begin in range(0, at, 2048):
+            end = min(at, begin + 2048)
+            last = 0
+            for size, (own, items) in sorted(self.classes.items()):
+                if last != size_unit(size):  # windows of one unit grow from class to class
+                    last, every, held = size_unit(size), size_unit(size) // STEP, 1
+                    windows = sums[begin:end:every].copy()
+                for k in range(held, size // STEP):
                     windows += sums[begin + k : end + k : every]
+                held = size // STEP
                 norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
                 alike = windows @ items
                 rows, columns = np.nonzero(alike >= COSINE * np.maximum(norms, 1e-6)[:, None])
-                for row, column in zip(rows.tolist(), columns.tolist()):
-                    block = begin + every * row
-                    doc = int(np.searchsorted(first, block, side="right")) - 1
+                blocks = begin + every * rows
+                docs = np.searchsorted(first, blocks, side="right") - 1
+                for row, column, block, doc in zip(rows.tolist(), columns.tolist(), blocks.tolist(), docs.tolist()):
                     place = ((block - starts[doc]) * STEP, size, float(alike[row, column] / norms[row]))
                     out.setdefault((doc, int(own[column])), []).append(place)
         return out

@@ -148,6 +148,33 @@ def test_svd_finds_the_leading_directions(spark):
     assert np.allclose(found @ (found.T @ wanted), wanted)
 
 
+def test_directions_come_from_every_distinct_text(spark):
+    """Far more passages than were once drawn: the directions are those of all of them, copies once."""
+    rng = random.Random(34)
+    texts = [" ".join(rng.choice(RARE if rng.random() < 0.5 else COMMON) for _ in range(6)) for _ in range(40_000)]
+    texts += [prose(130), prose(500)]
+    docs = spark.createDataFrame([(t,) for t in texts + texts[:2000] + [None, ""]], "text string").repartition(5)
+    n = d.frequencies(docs)
+    assert n[d.FEATURES] == sum(-(-len(d.words_of(t.encode())) // d.PASSAGE) for t in texts + texts[:2000])
+    idf = d.weights(n)
+    row, column, value = d._passages(sorted({t.encode() for t in texts}), idf)
+
+    def times(basis):
+        return np.stack([np.bincount(row, value * x[column]) for x in basis.T], axis=1)
+
+    draws = np.random.default_rng(d.DRAW).normal(size=(d.FEATURES, d.RANK + d.EXTRA))
+    basis = np.linalg.qr(np.stack([np.bincount(column, value * x[row], d.FEATURES) for x in times(draws).T], axis=1))[0]
+    inner = times(basis).T @ times(basis)
+    values, vectors = np.linalg.eigh(inner)
+    best = np.argsort(-values)[: d.RANK]
+    wanted = idf[:, None] * (basis @ vectors[:, best]) / np.sqrt(values[best])
+    found = d.projection(docs)
+    some = d.features_of(d.clean(" ".join(RARE[:300]).encode()))
+    # signs and order of equal directions are open, products of words are not
+    one, two = wanted[some] @ wanted[some].T, found[some].astype(float) @ found[some].T.astype(float)
+    assert np.abs(one - two).max() < 1e-3 * np.abs(one).max()
+
+
 def test_size_classes():
     assert [d.size_class(n) for n in (1, 16, 17, 24, 25, 33, 48, 49, 65, 97, 129)] == [16, 16, 24, 24, 32, 40, 48, 56, 80, 112, 160]
 
