@@ -119,7 +119,8 @@ def section_chunks(texts: DataFrame, pack: LanguagePack = LanguagePack(), settin
     entry = F.when(F.col("_total") == 1, F.lit("whole")).otherwise(F.concat(F.lit("item"), F.col("_k").cast("string")))
     name = F.when(kind == 0, F.concat_ws("::", place, F.lit("rec"), "rec_id", piece)).when(kind == 1, F.concat_ws("::", place, F.lit("tbl"), "table_id")).when(kind == 2, F.concat_ws("::", list_id, entry)).otherwise(F.concat_ws("::", place, F.lit("p"), piece))
     counted, listed = kind.isin(0, 3), kind == 2
-    return rows.join(base, KEY).select(
+    # stored texts are small by their files' size, their pieces are not: neither is sent to every task, and the pieces lie by section already
+    return rows.hint("merge").join(base, KEY).select(
         name.alias("chunk_id"), "source", "pdf_page", "section_path", "section_ids", "section_level",
         F.element_at(F.array(*map(F.lit, KINDS)), kind + 1).alias("chunk_type"), "is_summary", "text", "parent_section_id", "sibling_sections",
         F.col("rec_id").alias("recommendation_id"), F.when(counted, F.col("_k")).alias("chunk_index"), F.when(counted, F.col("_total")).alias("chunk_total"),

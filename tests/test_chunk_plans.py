@@ -41,3 +41,14 @@ def test_lines_are_judged_once(spark):
     got = [(r.rec_id, r.table_id, r.table_title, r.rec, r.tbl, r.list) for r in found.orderBy("line_no").collect()]
     none = (None,) * 3
     assert got == [("9.1", None, None, 1, None, None), (*none, 1, None, None), (None, "2", "Naslov", None, 1, None), (*none, None, 1, None), (*none, None, 1, 1), (*none, None, 1, 1), (*none, None, 1, 1), (*none, None, None, None), (*none, None, None, None)]
+
+
+def test_pieces_are_never_broadcast(spark, tmp_path):
+    """However small the stored texts' files are, the pieces cut from them stay where they are."""
+    rows = [(f"s{k}", 1, 1, ["Naslov"], [f"s{k}::1"], "Naslov", None, [], f"Препорука 9.{k}\nSavet.\n• a\n• b\nKraj.") for k in range(20)]
+    schema = "source string, seq int, pdf_page int, section_path array<string>, section_ids array<string>, title string, parent_section_id string, sibling_sections array<string>, text string"
+    spark.createDataFrame(rows, schema).coalesce(2).write.parquet(str(tmp_path / "texts"))
+    found = chunks.section_chunks(spark.read.parquet(str(tmp_path / "texts")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.groupBy("chunk_type").count().count() >= 2 and found.select("source").distinct().count() == 20
