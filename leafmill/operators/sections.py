@@ -97,6 +97,15 @@ def section_paths(sections: DataFrame) -> DataFrame:
     return sections.join(paths.select("source", "seq", F.transform("_p", lambda x: x["_title"]).alias("section_path")), ["source", "seq"])
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffles and sorts.
+
+    Stored targets and lines are small by their files' size and not by what is made of
+    them here, so Spark would send a whole side through the driver to every task.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 def _likeable(size: Column, least: Column) -> tuple[Column, Column]:
     """The least and the greatest length of a line that may be like a target of ``size`` characters."""
     return F.ceil(size * least / (2 - least) - 1e-9), F.floor(size * (2 - least) / least + 1e-9)
@@ -115,7 +124,8 @@ def page_lines(pages: DataFrame, targets: DataFrame, settings: Settings = Settin
     apart. A line that is longer is not read with the next one, as both begin alike.
     """
     # under names of their own, as both sides of later joins may come from one table
-    held = pages.select(F.col("source").alias("source"), F.col("page").alias("page"), F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "").alias("_lines")).join(line_rooms(targets, settings), "source")
+    held = pages.select(F.col("source").alias("source"), F.col("page").alias("page"), F.filter(F.transform(t.lines_of(F.col("text")), t.strip), lambda x: x != "").alias("_lines"))
+    held = _merged(held, line_rooms(targets, settings), ["source"])
 
     def every(keys: Column) -> Column:
         last = F.sequence(F.lit(0), F.size(keys) - 2)
@@ -138,8 +148,8 @@ def _as_prefix(lines: DataFrame, targets: DataFrame) -> DataFrame:
     """
     longest = targets.groupBy("source").agg(F.max(F.length("target")).alias("_longest"))
     ends = t.let(F.length("line"), lambda n: F.filter(F.sequence(F.lit(10), F.greatest(F.lit(10), F.least(n, "_longest"))), lambda p: (p == n) | (F.substring("line", p + 1, F.lit(1)) == " ")))
-    begun = lines.join(longest, "source").where(F.length("line") >= 10).select("source", "line", F.explode(F.transform(ends, lambda p: F.xxhash64(F.substring(F.col("line"), F.lit(1), p)))).alias("_hash"))
-    found = begun.join(targets.where(F.length("target") >= 10).withColumn("_hash", F.xxhash64("target")), ["source", "_hash"])
+    begun = _merged(lines, longest, ["source"]).where(F.length("line") >= 10).select("source", "line", F.explode(F.transform(ends, lambda p: F.xxhash64(F.substring(F.col("line"), F.lit(1), p)))).alias("_hash"))
+    found = _merged(begun, targets.where(F.length("target") >= 10).withColumn("_hash", F.xxhash64("target")), ["source", "_hash"])
     return found.where(F.col("line").startswith(F.col("target"))).select("source", "line", "seq")
 
 
@@ -153,11 +163,11 @@ def _by_words(lines: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
     words = short.select("source", "line", "_held", F.explode("_held").alias("word"))
     often = words.groupBy("source", "word").agg(F.count("*").alias("_often"))
     wanted = targets.withColumn("_list", _words(F.col("target"))).withColumn("_wanted", F.array_distinct("_list")).where(F.size("_wanted") > 0)
-    asked = wanted.select("source", "seq", "target", "_list", "_wanted", F.explode("_wanted").alias("word")).join(often, ["source", "word"], "left")
+    asked = _merged(wanted.select("source", "seq", "target", "_list", "_wanted", F.explode("_wanted").alias("word")), often, ["source", "word"], "left")
     w = Window.partitionBy("source", "seq", "target").orderBy(F.coalesce("_often", F.lit(0)), "word")
     enough = F.size("_wanted") - F.ceil(F.size("_wanted") * s.overlap) + 1
     asked = asked.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= enough).select("source", "seq", "_list", "_wanted", "word")
-    met = words.join(asked, ["source", "word"])
+    met = _merged(words, asked, ["source", "word"])
     many = F.size(F.array_intersect("_held", "_wanted")) >= s.overlap * F.size("_wanted")
     return met.where(F.when(F.size("_list") == 1, F.length("line") <= s.one_word_line).otherwise(many)).select("source", "line", "seq")
 
@@ -167,7 +177,7 @@ def _by_likeness(lines: DataFrame, targets: DataFrame, s: Settings) -> DataFrame
     sized = targets.withColumn("_size", F.length("target")).where("_size > 0")
     low, high = _likeable(F.col("_size"), F.col("least"))
     banded = sized.select("source", "seq", "target", "least", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), F.greatest(high, F.lit(1)).cast("int"))).alias("_length"))
-    pairs = lines.withColumn("_length", F.length("line")).join(banded, ["source", "_length"]).select("source", "line", "seq", "target", "least")
+    pairs = _merged(lines.withColumn("_length", F.length("line")), banded, ["source", "_length"]).select("source", "line", "seq", "target", "least")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = SequenceMatcher(None)
@@ -191,9 +201,9 @@ def heading_hits(targets: DataFrame, lines: DataFrame, settings: Settings = Sett
     or by likeness. A document's equal lines are looked at once.
     """
     own = lines.select("source", "line").distinct()
-    exact = own.join(targets.withColumnRenamed("target", "line"), ["source", "line"]).select("source", "line", "seq")
+    exact = _merged(own, targets.withColumnRenamed("target", "line"), ["source", "line"]).select("source", "line", "seq")
     met = exact.unionByName(_as_prefix(own, targets)).unionByName(_by_words(own, targets, settings)).unionByName(_by_likeness(own, targets, settings)).distinct()
-    return lines.join(met, ["source", "line"]).select("source", "seq", "page").distinct()
+    return _merged(lines, met, ["source", "line"]).select("source", "seq", "page").distinct()
 
 
 def _walked(hits: list[list[int]], n_pages: int, most: int) -> list[tuple[int | None, int | None]]:
@@ -232,10 +242,11 @@ def heading_pages(sections: DataFrame, pages: DataFrame, located: DataFrame, set
     lines, _ = written(page_lines(kept, targets, settings), "page-lines")
     place = F.row_number().over(Window.partitionBy("source").orderBy("page")) - 1
     places = kept.select(F.col("source").alias("source"), F.col("page").alias("page")).withColumn("_place", place)
-    hits = heading_hits(targets, lines, settings).join(places, ["source", "page"])
+    hits = _merged(heading_hits(targets, lines, settings), places, ["source", "page"])
     hits = hits.groupBy("source", "seq").agg(F.array_sort(F.collect_list("_place")).alias("_hits"))
     counts = places.groupBy("source").agg(F.count("*").cast("int").alias("_pages"))
-    queue = wanted.select(F.col("source").alias("source"), "seq", (F.col("_target") != "").alias("_asked")).join(hits, ["source", "seq"], "left").join(counts, "source", "left")
+    queue = wanted.select(F.col("source").alias("source"), "seq", (F.col("_target") != "").alias("_asked"))
+    queue = _merged(_merged(queue, hits, ["source", "seq"], "left"), counts, ["source"], "left")
 
     def walk(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("seq", kind="stable")
@@ -246,10 +257,10 @@ def heading_pages(sections: DataFrame, pages: DataFrame, located: DataFrame, set
         return out.astype({"_place": "Int32", "pages_tried": "Int32"})
 
     found = queue.groupBy("source").applyInPandas(walk, "source string, seq int, _place int, pages_tried int")
-    found = found.join(places.withColumnRenamed("page", "pdf_page"), ["source", "_place"], "left").select("source", "seq", "pdf_page", "pages_tried")
+    found = _merged(found, places.withColumnRenamed("page", "pdf_page"), ["source", "_place"], "left").select("source", "seq", "pdf_page", "pages_tried")
     # the walk is read by the sections and by the report
     found, _ = written(found, "heading-pages")
-    mapped = wanted.join(found, ["source", "seq"], "left")
+    mapped = _merged(wanted, found, ["source", "seq"], "left")
     in_order = lambda x: F.array_sort(F.collect_list(F.when(x, F.struct("seq", "title", F.col("_target").alias("target_norm"), "pages_tried"))))
     report = mapped.groupBy("source").agg(F.count("*").alias("headings_total"), F.count("pdf_page").alias("headings_found"), in_order(F.col("pdf_page").isNull()).alias("_lost"), in_order(F.col("pages_tried").isNotNull()).alias("headings_skipped"))
     report = report.select("source", "headings_total", "headings_found", F.transform("_lost", lambda x: x["title"]).alias("headings_not_found"), "headings_skipped")
