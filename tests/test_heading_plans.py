@@ -43,3 +43,14 @@ def test_report_of_a_book_that_lost_no_heading(spark, tmp_path):
     found = {r.source: r for r in entry.queries()["made_heading_report"](spark, str(tmp_path)).collect()}
     assert found["b0"].lost and found["b0"].skipped and found["b0"].total == 9
     assert (found["b1"].total, found["b1"].found, found["b1"].lost, found["b1"].skipped) == (2, 2, None, None)
+
+
+def test_lines_and_targets_meet_by_merge_joins(spark, tmp_path):
+    """As they are, as a beginning, by words and by likeness; each target is met once for each length that is like it."""
+    lines = [(f"b{k}", page, f"{'abcdefghi'[page - 1] * 40} naslov") for k in range(20) for page in range(1, 10)]
+    targets = [(f"b{k}", n, f"{'cfi'[n - 1] * 39}x naslov", 0.8) for k in range(20) for n in range(1, 4)]
+    for name, rows, schema in (("lines", lines, "source string, page int, line string"), ("targets", targets, "source string, seq int, target string, least double")):
+        spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{tmp_path}/{name}")
+    met = sections.heading_hits(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("targets", "lines")))
+    assert joins(met) == (True, False)
+    assert sorted(map(tuple, met.collect())) == sorted((f"b{k}", n, 3 * n) for k in range(20) for n in range(1, 4))
