@@ -115,3 +115,38 @@ def test_evidence_comes_from_all_texts(spark):
     texts = [x for x, _ in out[:50]] + [b"abc " * 700, b"x" * 64, b"y" * 129]
     for k, own, p in language.prefix_probabilities(net, texts):
         assert np.allclose(p, language.document_probabilities(net, [texts[i][: language.PREFIXES[k]] for i in own]), atol=1e-5)
+
+
+def test_held_out_texts_are_looked_at_whole(spark):
+    """Every byte counts: prefixes go on to the text's end, and the text itself is one more witness of its length."""
+    rng = random.Random(9)
+    rows = [(k, sentence(rng, lang := list(PARTS)[k % 2], [3, 40, 900, 4000][k % 4]) + " x" * (k % 7), lang) for k in range(200)]
+    rows += [(200 + k, "ab" * 4096, "aa") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    net, known = language.Network(["aa", "bb"], 1), language.Evidence(language.pair_counts(docs, ["aa", "bb"]))
+    seen = language.held_out_steps(docs, net, known)
+    want = {}
+    for k, text, lang in rows:
+        own = text.encode()
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            continue
+        sizes = [size for size in language.PREFIXES if size <= len(own)]
+        assert len(own) < 2 * sizes[-1]
+        for place, size in [*enumerate(sizes), *([(len(sizes) - 1, len(own))] if len(own) > sizes[-1] else [])]:
+            p = language.document_probabilities(net, [own[:size]])[0]
+            if net.labels[p.argmax()] == lang:
+                whole = 2 * (size not in sizes)
+                want.setdefault((place, whole), []).append(p.max())
+                want.setdefault((place, whole + 1), []).append(known.pairs(own[:size]))
+    assert max(k for k, _ in want) > 10 and {side for _, side in want} == {0, 1, 2, 3}
+    assert set(seen) == set(want)
+    for key, values in want.items():
+        steps = np.repeat(sorted(seen[key]), [seen[key][x] for x in sorted(seen[key])])
+        # float sums in another order may fall into the step beside
+        assert len(steps) == len(values) and np.abs(np.sort(np.floor(np.array(values) * language.FINE[key[1] % 2])) - steps).max() <= 1
+
+
+def test_whole_texts_bound_their_length():
+    known = language.Evidence(np.ones((1, 256, 256)))
+    seen = {(10, side): {[9000, -3000][side % 2]: 20} for side in range(2)} | {(10, side): {[8000, -4000][side % 2]: 20} for side in (2, 3)}
+    assert known.bounded(seen).bounds[10].tolist() == [0.5, -4.0]
